@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import minhash
+from tablewright.llm import minhash, packing
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,17 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def _vocabulary(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_sum_of_squares_packing(spark, sf_dir):
+    """All documents, tokenised, in sequences of at most 4096 tokens."""
+    return packing.packed_sequences(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -100,3 +103,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return star.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
         star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The groups of rows with equal keys, from batches of a partition sorted by them. Groups must be bounded."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for key in keys:
+            col = batch.column(key).to_numpy(zero_copy_only=False)
+            change[1:] |= col[1:] != col[:-1]
+        at = [0, *np.flatnonzero(change).tolist()]
+        for s, e in zip(at, at[1:]):
+            yield batch.slice(s, e - s)
+        rest = batch.slice(at[-1])
+    if rest is not None:
+        yield rest
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, where they do not have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_tablewright", None) is None:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="tablewright-")) / "tablewright_package.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for source in sorted(top.rglob("*.py")):
+                out.write(source, source.relative_to(top.parent))
+        context.addPyFile(str(path))
+        context._tablewright = str(path)
+    return spark

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablewright.llm import minhash, packing
+from tablewright.llm import minhash, packing, vectors
+from tablewright.llm.common import ship
 
 
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op10_minhash_near_dedup(spark, sf_dir):
@@ -26,6 +27,11 @@ def op8_sum_of_squares_packing(spark, sf_dir):
     return packing.packed_sequences(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_sorted_projection_near_dedup(spark, sf_dir):
+    """Near-duplicate links and components of all embeddings of equal label at cosine 0.93."""
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

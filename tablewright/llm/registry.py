@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import minhash, packing, vectors
+from tablewright.llm import langid, minhash, packing, vectors
 from tablewright.llm.common import ship
 
 
@@ -32,6 +32,11 @@ def op4_sorted_projection_near_dedup(spark, sf_dir):
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op3_hierarchical_language_id(spark, sf_dir):
+    """The language of every document, learnt from the labelled documents that are not held out."""
+    return langid.predicted(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tablewright.llm import langid, minhash, packing, vectors
+from pyspark.sql import functions as F
+
+from tablewright.llm import langid, minhash, packing, resampling, vectors, warc
 from tablewright.llm.common import ship
 
 
@@ -37,6 +39,21 @@ def op3_hierarchical_language_id(spark, sf_dir):
     return langid.predicted(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_derivatives(spark, sf_dir):
+    """Digest columns of the metadata and conversion records of all pages."""
+    made = warc.build(_table(spark, sf_dir, "pages"))
+    head = F.col("headers")
+    return made.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", head["Content-Type"].alias("content_type"),
+        head["Content-Length"].cast("long").alias("content_length"), head["WARC-Block-Digest"].alias("block_digest"), "payload_digest", "n_outlinks",
+    )
+
+
+def op6_importance_resampling(spark, sf_dir):
+    """Importance weights of all documents and the Gumbel top-k sample of 85 % of them."""
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import blocks, components, written
+from tablewright.llm.common import blocks, components, partitions, runs, written
 from tablewright.llm.text import mix, shingles, word_hashes
 
 COORDS = 64
@@ -58,23 +58,28 @@ def tokens(sigs: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, the set's key (f1, f2) and its signature for every text."""
+    """doc_id, n_shingles, the set's key (f1, f2), its signature and the signature's low bytes for every text.
+
+    Equal coordinates have equal low bytes, so agreement counted in bytes never falls short.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes, rows = word_hashes(block.column("text"))
-            counts, keys, sigs = [], [], []
+            counts, keys, sigs, briefs = [], [], [], []
             for s, e in zip(rows[:-1], rows[1:]):
                 found = shingles(hashes[s:e], n)
                 counts.append(len(found))
                 keys.append(set_key(found) if len(found) else (0, 0))
-                sigs.append(signature(found).tobytes() if len(found) else None)
+                sig = signature(found) if len(found) else None
+                sigs.append(None if sig is None else sig.tobytes())
+                briefs.append(None if sig is None else sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "sig"],
+                [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.binary()), pa.array(briefs, pa.binary())],
+                ["doc_id", "n_shingles", "f1", "f2", "sig", "brief"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, brief binary")
 
 
 def _signatures(block: pa.RecordBatch) -> np.ndarray:
@@ -129,24 +134,22 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "token long, id long")
 
 
-def enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in MATCHES coordinates or more."""
+def _brief(block: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(block.column(column).to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
+
+
+def enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of fitting sizes whose signatures agree in MATCHES coordinates or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one = np.frombuffer(b"".join(batch.column("sa").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
-            two = np.frombuffer(b"".join(batch.column("sb").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
-            yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= MATCHES))
+            if batch.num_rows:
+                yield batch.select(["a", "b"]).filter(pa.array((_brief(batch, "sa") == _brief(batch, "sb")).sum(axis=1) >= MATCHES))
 
-    sig = classes.select("id", "sig")
-    return (
-        pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(run, "a long, b long")
-    )
+    one = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("brief").alias("sa"))
+    two = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("brief").alias("sb"))
+    joined = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -182,24 +185,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     )
 
 
-def crossing(listed: DataFrame, tried: DataFrame) -> DataFrame:
-    """Untried pairs of members of one posting list that lie in different components.
+def crossing(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among members of one posting list that lie in different components.
 
     listed: token, id, component. Lists within one component are dropped; the others are dealt
-    into blocks of about BLOCK members, and each pair of blocks is one bounded group.
+    into blocks of about BLOCK members, and each pair of blocks is one bounded group in which
+    equal coordinates are counted; only pairs that agree in MATCHES of them become rows.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["token", "i", "j"]):
+            ids, size, part, i, j, own = (group.column(c).to_numpy() for c in ("id", "n", "component", "i", "j", "own"))
+            sig = _brief(group, "brief")
+            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            fit = (part[x, None] != part[None, y]) & (100 * np.minimum(size[x, None], size[None, y]) >= percent * np.maximum(size[x, None], size[None, y]))
+            if i[0] == j[0]:
+                fit &= x[:, None] < y[None, :]
+            p, q = np.nonzero(fit)
+            hit = (sig[x[p]] == sig[y[q]]).sum(axis=1) >= MATCHES
+            one, two = ids[x[p[hit]]], ids[y[q[hit]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
     spans = (
-        listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
+        listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
     )
-    lists = listed.join(spans.select("token", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("parts")), "token")
+    lists = listed.join(spans.select("token", F.expr(f"cast(ceil(m / {BLOCK}) as int)").alias("parts")), "token")
+    lists = lists.join(classes.select("id", "n", "brief"), "id")
     dealt = lists.withColumn("own", F.expr("cast(pmod(xxhash64(id), parts) as int)")).withColumn(
         "other", F.explode(F.expr("sequence(0, parts - 1)"))
     )
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    left = dealt.where("own = i").select("token", "i", "j", F.col("id").alias("x"), F.col("component").alias("cx"))
-    right = dealt.where("own = j").select("token", "i", "j", F.col("id").alias("y"), F.col("component").alias("cy"))
-    pairs = left.join(right, ["token", "i", "j"]).where("cx != cy and (x < y or i < j)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "brief")
+    dealt = dealt.repartition(partitions(listed.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -213,15 +230,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     found = written(shingle_sets(docs, n), "shingled")
     full = found.where("n_shingles > 0")
     firsts = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).select("id", "sig"), "classes")
+    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief")).select("id", "n", "sig", "brief"), "classes")
     posted = written(postings(classes), "postings")
     lists = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     hubs = written(posted.join(lists, "token").where("id > a").select("a", F.col("id").alias("b")).distinct(), "hubs")
-    links = written(confirmed(enough(hubs, classes), docs, n, percent), "links")
+    links = written(confirmed(enough(hubs, classes, percent), docs, n, percent), "links")
     shared = posted.join(lists.where("n > 2").select("token"), "token", "left_semi")
     parts = written(components(links), "parts")
     listed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-    more = written(confirmed(enough(crossing(written(listed, "listed"), hubs), classes), docs, n, percent), "links")
+    untried = crossing(written(listed, "listed"), classes, percent).join(hubs, ["a", "b"], "left_anti")
+    more = written(confirmed(untried, docs, n, percent), "links")
     if not more.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     return (

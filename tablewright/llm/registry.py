@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid, minhash, packing, resampling, vectors, warc
+from tablewright.llm import langid, lines, minhash, packing, resampling, vectors, warc
 from tablewright.llm.common import ship
 
 
@@ -39,6 +39,11 @@ def op3_hierarchical_language_id(spark, sf_dir):
     return langid.predicted(_table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark, sf_dir):
+    """Lines of all documents that fuzzy line dedup removes, by document."""
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_derivatives(spark, sf_dir):
     """Digest columns of the metadata and conversion records of all pages."""
     made = warc.build(_table(spark, sf_dir, "pages"))

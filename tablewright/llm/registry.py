@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import langid, lines, minhash, packing, resampling, vectors, warc
+from tablewright.llm import decontaminate, langid, lines, minhash, packing, resampling, vectors, warc
 from tablewright.llm.common import ship
 
 
@@ -59,6 +59,11 @@ def op6_importance_resampling(spark, sf_dir):
     return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_template_decontamination(spark, sf_dir):
+    """Documents that hold a benchmark item's template, with the item and how much of it they hold."""
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

@@ -29,7 +29,7 @@ END = 1
 #: Documents that the packed pattern has at most, besides remainders.
 BASE = 100_000
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Rows of one salted group when ranks are counted.
 GROUP = 20_000
 

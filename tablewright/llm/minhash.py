@@ -14,7 +14,7 @@ coordinates is confirmed on the full shingle sets, and components of confirmed l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import blocks, components, partitions, runs, written
-from tablewright.llm.text import mix, shingles, word_hashes
+from tablewright.llm.text import mix, shingle_rows, word_hashes
 
 COORDS = 64
 #: Equal coordinates that a candidate needs. A pair at similarity 0.8 has 51 on average; fewer than 40 in 1 of 3,000.
@@ -37,19 +37,22 @@ _MULTIPLY = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over a shingle set, as 32-bit values."""
-    best = np.full(COORDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(found), 1 << 14):
-        part = found[i : i + (1 << 14)]
-        best = np.minimum(best, (part[None, :] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1))
+def signatures(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The minimum of each hash function over every non-empty set, as rows of 32-bit values."""
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    best = np.empty((len(starts), COORDS), dtype=np.uint64)
+    for i in range(COORDS):
+        best[:, i] = np.minimum.reduceat(found * _MULTIPLY[i] + _ADD[i], starts) if len(starts) else 0
     return (mix(best) >> np.uint64(32)).astype(np.uint32)
 
 
-def set_key(found: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit sums that stand for a set."""
-    one, two = mix(found).sum(dtype=np.uint64), mix(found ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
+def set_keys(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit sums that stand for each non-empty set."""
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, two = mix(found), mix(found ^ np.uint64(0xA5A5A5A55A5A5A5A))
+    return np.add.reduceat(one, starts).view(np.int64), np.add.reduceat(two, starts).view(np.int64)
 
 
 def tokens(sigs: np.ndarray) -> np.ndarray:
@@ -57,29 +60,34 @@ def tokens(sigs: np.ndarray) -> np.ndarray:
     return mix((np.arange(sigs.shape[1], dtype=np.uint64) << np.uint64(32)) | sigs)
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, the set's key (f1, f2), its signature and the signature's low bytes for every text.
+def shingle_sets(docs: DataFrame, n: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, n_words, n_shingles, the set's key (f1, f2), its signature and the signature's low bytes for every text.
 
     Equal coordinates have equal low bytes, so agreement counted in bytes never falls short.
     """
 
+    def spread(values: np.ndarray, full: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(full), dtype=values.dtype)
+        out[full] = values
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes, rows = word_hashes(block.column("text"))
-            counts, keys, sigs, briefs = [], [], [], []
-            for s, e in zip(rows[:-1], rows[1:]):
-                found = shingles(hashes[s:e], n)
-                counts.append(len(found))
-                keys.append(set_key(found) if len(found) else (0, 0))
-                sig = signature(found) if len(found) else None
-                sigs.append(None if sig is None else sig.tobytes())
-                briefs.append(None if sig is None else sig.astype(np.uint8).tobytes())
+            found, bounds = shingle_rows(hashes, rows, n)
+            full = np.diff(bounds) > 0
+            one, two = set_keys(found, bounds)
+            sigs = signatures(found, bounds)
+            some = iter([x.tobytes() for x in sigs])
+            low = iter([x.tobytes() for x in sigs.astype(np.uint8)])
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(counts, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sigs, pa.binary()), pa.array(briefs, pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "sig", "brief"],
+                [*(block.column(k) for k in keys), pa.array(np.diff(rows)), pa.array(np.diff(bounds)), pa.array(spread(one, full)), pa.array(spread(two, full)), pa.array([next(some) if x else None for x in full], pa.binary()), pa.array([next(low) if x else None for x in full], pa.binary())],
+                [*keys, "n_words", "n_shingles", "f1", "f2", "sig", "brief"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary, brief binary")
+    kept = docs.select(*keys, "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(run, f"{schema}, n_words long, n_shingles long, f1 long, f2 long, sig binary, brief binary")
 
 
 def _signatures(block: pa.RecordBatch) -> np.ndarray:
@@ -152,14 +160,18 @@ def enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full shingle sets of the whole texts."""
+def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union on the full shingle sets of the whole texts.
+
+    fetch gives one row (id, text) for each of a table of ids.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes, rows = word_hashes(block.column("text"))
-            found = [shingles(hashes[s:e], n).tobytes() for s, e in zip(rows[:-1], rows[1:])]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(found, pa.binary())], ["id", "found"])
+            every, bounds = shingle_rows(hashes, rows, n)
+            found = [every[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(found, pa.binary())], ["id", "found"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +187,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, found binary"), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    found = written(fetch(ids).select("id", "text").mapInArrow(sets, "id long, found binary"), "sets")
     return (
         pairs.join(found.select(F.col("id").alias("a"), F.col("found").alias("xa")), "a")
         .join(found.select(F.col("id").alias("b"), F.col("found").alias("xb")), "b")
@@ -219,33 +231,40 @@ def crossing(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def clusters(classes: DataFrame, posted: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+    """(node, component) of the classes (id, n, brief) that confirmed links join; posted (token, id) says which may meet."""
+    lists = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
+    hubs = written(posted.join(lists, "token").where("id > a").select("a", F.col("id").alias("b")).distinct(), "hubs")
+    links = written(confirmed(enough(hubs, classes, percent), fetch, n, percent), "links")
+    parts = written(components(links), "parts")
+    shared = posted.join(lists.where("m > 2").select("token"), "token", "left_semi")
+    listed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
+    untried = crossing(written(listed, "listed"), classes, percent).join(hubs, ["a", "b"], "left_anti")
+    more = written(confirmed(untried, fetch, n, percent), "links")
+    if more.isEmpty():
+        return parts
+    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate components of documents (doc_id, text; other columns are ignored).
 
     Returns one row per document: doc_id, n_shingles, class_id (smallest document with the same
     shingle set), component_id (smallest document reachable by links), kept. Null, empty and
-    blank texts have no shingle and link with nothing; a repeated doc_id is one document.
+    blank texts, and those with a null doc_id, link with nothing; rows that repeat a doc_id should have the same text.
     """
     docs = docs.select("doc_id", "text")
     found = written(shingle_sets(docs, n), "shingled")
-    full = found.where("n_shingles > 0")
+    full = found.where("n_shingles > 0 and doc_id is not null")
     firsts = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    classes = written(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief")).select("id", "n", "sig", "brief"), "classes")
-    posted = written(postings(classes), "postings")
-    lists = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    hubs = written(posted.join(lists, "token").where("id > a").select("a", F.col("id").alias("b")).distinct(), "hubs")
-    links = written(confirmed(enough(hubs, classes, percent), docs, n, percent), "links")
-    shared = posted.join(lists.where("n > 2").select("token"), "token", "left_semi")
-    parts = written(components(links), "parts")
-    listed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-    untried = crossing(written(listed, "listed"), classes, percent).join(hubs, ["a", "b"], "left_anti")
-    more = written(confirmed(untried, docs, n, percent), "links")
-    if not more.isEmpty():
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
+    classes = written(classes.select("id", "n", "sig", "brief"), "classes")
+    fetch = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    parts = clusters(classes, written(postings(classes), "postings"), fetch, n, percent)
     return (
         found.join(firsts, ["f1", "f2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
         .join(parts.select(F.col("node").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left")
         .select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, langid, lines, minhash, packing, resampling, vectors, warc
+from tablewright.llm import decontaminate, langid, lines, minhash, packing, paragraphs, resampling, vectors, warc
 from tablewright.llm.common import ship
 
 
@@ -54,6 +54,11 @@ def op2_warc_derivatives(spark, sf_dir):
     )
 
 
+def op5_paragraph_dedup(spark, sf_dir):
+    """Paragraphs of all documents that MinHash banding removes, by document."""
+    return paragraphs.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_importance_resampling(spark, sf_dir):
     """Importance weights of all documents and the Gumbel top-k sample of 85 % of them."""
     return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

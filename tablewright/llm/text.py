@@ -99,3 +99,29 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = mix(out ^ hashes[i : i + size]) + np.uint64(i)
     return np.unique(out)
+
+
+def shingle_rows(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of every text at once: all sets end to end, each sorted, and their bounds."""
+    counts = np.diff(rows)
+    found, owner = [], []
+    if len(hashes) >= n:
+        out = np.full(len(hashes) - n + 1, 0x9E3779B97F4A7C15 * n & MASK, dtype=np.uint64)
+        for i in range(n):
+            out = mix(out ^ hashes[i : i + len(out)]) + np.uint64(i)
+        row = np.repeat(np.arange(len(counts)), counts)
+        whole = row[: len(out)] == row[n - 1 :]
+        found.append(out[whole])
+        owner.append(row[: len(out)][whole])
+    for r in np.flatnonzero((counts > 0) & (counts < n)):
+        found.append(shingles(hashes[rows[r] : rows[r + 1]], n))
+        owner.append(np.full(len(found[-1]), r))
+    if not found:
+        return hashes, np.zeros(len(counts) + 1, dtype=np.int64)
+    h, r = np.concatenate(found), np.concatenate(owner)
+    order = np.lexsort((h, r))
+    h, r = h[order], r[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    h, r = h[first], r[first]
+    return h, np.searchsorted(r, np.arange(len(counts) + 1))

@@ -69,9 +69,18 @@ def op9_template_decontamination(spark, sf_dir):
     return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark, sf_dir):
+    """The corpus pipeline's stages, one after another."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    """All queries by name."""
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"pipeline": pipeline}
 
 
 def oracle_sql():
+    """None: the operators here are held against brute-force versions in tests/llm."""
     return {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, langid, lines, minhash, packing, paragraphs, resampling, vectors, warc
+from tablewright.llm import decontaminate, langid, lines, minhash, packing, paragraphs, resampling, substrings, vectors, warc
 from tablewright.llm.common import ship
 
 
@@ -24,6 +24,11 @@ def _vocabulary(name):
     return public_tokenizers.path(name)
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    """What exact substring dedup removes from all documents, by document."""
+    return substrings.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_sum_of_squares_packing(spark, sf_dir):
     """All documents, tokenised, in sequences of at most 4096 tokens."""
     return packing.packed_sequences(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))

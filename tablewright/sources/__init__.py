@@ -1 +1,10 @@
-"""Subpackage of tablewright."""
+"""Sources: the Parquet tables of a folder, by name."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder; columns and filters that follow are pushed into the scan."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")

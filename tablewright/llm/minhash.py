@@ -27,21 +27,26 @@ from tablewright.llm.text import mix, shingle_rows, word_hashes
 COORDS = 64
 #: Equal coordinates that a candidate needs. A pair at similarity 0.8 has 51 on average; fewer than 40 in 1 of 3,000.
 MATCHES = 40
+#: Coordinates that candidates are compared on before their texts are, and how many must be equal: a pair at
+#: similarity 0.8 has 205 on average and fewer than 184 in 1 of 2,000; at 0.68 one pair in ten has as many.
+WIDE, AGREE = 256, 184
 #: Counters of the rareness sketch: its size is fixed, whatever the input.
 SKETCH = 1 << 18
 #: Members of one block in round two.
-BLOCK = 256
+BLOCK = 1024
+#: Pairs of a block compared at a time.
+CHUNK = 1 << 15
 
 _rng = np.random.default_rng(10)
-_MULTIPLY = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 
 
 def signatures(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The minimum of each hash function over every non-empty set, as rows of 32-bit values."""
     starts = bounds[:-1][np.diff(bounds) > 0]
-    best = np.empty((len(starts), COORDS), dtype=np.uint64)
-    for i in range(COORDS):
+    best = np.empty((len(starts), WIDE), dtype=np.uint64)
+    for i in range(WIDE):
         best[:, i] = np.minimum.reduceat(found * _MULTIPLY[i] + _ADD[i], starts) if len(starts) else 0
     return (mix(best) >> np.uint64(32)).astype(np.uint32)
 
@@ -61,7 +66,7 @@ def tokens(sigs: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, n: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keys, n_words, n_shingles, the set's key (f1, f2), its signature and the signature's low bytes for every text.
+    """keys, n_words, n_shingles, the set's key (f1, f2), its first COORDS coordinates and the low bytes of all WIDE.
 
     Equal coordinates have equal low bytes, so agreement counted in bytes never falls short.
     """
@@ -78,7 +83,7 @@ def shingle_sets(docs: DataFrame, n: int, keys: tuple[str, ...] = ("doc_id",)) -
             full = np.diff(bounds) > 0
             one, two = set_keys(found, bounds)
             sigs = signatures(found, bounds)
-            some = iter([x.tobytes() for x in sigs])
+            some = iter([x[:COORDS].tobytes() for x in sigs])
             low = iter([x.tobytes() for x in sigs.astype(np.uint8)])
             yield pa.RecordBatch.from_arrays(
                 [*(block.column(k) for k in keys), pa.array(np.diff(rows)), pa.array(np.diff(bounds)), pa.array(spread(one, full)), pa.array(spread(two, full)), pa.array([next(some) if x else None for x in full], pa.binary()), pa.array([next(low) if x else None for x in full], pa.binary())],
@@ -143,16 +148,16 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def _brief(block: pa.RecordBatch, column: str) -> np.ndarray:
-    return np.frombuffer(b"".join(block.column(column).to_pylist()), dtype=np.uint8).reshape(-1, COORDS)
+    return np.frombuffer(b"".join(block.column(column).to_pylist()), dtype=np.uint8).reshape(-1, WIDE)
 
 
 def enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of fitting sizes whose signatures agree in MATCHES coordinates or more."""
+    """Pairs (a, b) of fitting sizes whose signatures agree in AGREE of WIDE coordinates or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.select(["a", "b"]).filter(pa.array((_brief(batch, "sa") == _brief(batch, "sb")).sum(axis=1) >= MATCHES))
+                yield batch.select(["a", "b"]).filter(pa.array((_brief(batch, "sa") == _brief(batch, "sb")).sum(axis=1) >= AGREE))
 
     one = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("brief").alias("sa"))
     two = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("brief").alias("sb"))
@@ -202,7 +207,7 @@ def crossing(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     listed: token, id, component. Lists within one component are dropped; the others are dealt
     into blocks of about BLOCK members, and each pair of blocks is one bounded group in which
-    equal coordinates are counted; only pairs that agree in MATCHES of them become rows.
+    equal coordinates are counted; only pairs that agree in AGREE of WIDE become rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +219,7 @@ def crossing(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if i[0] == j[0]:
                 fit &= x[:, None] < y[None, :]
             p, q = np.nonzero(fit)
-            hit = (sig[x[p]] == sig[y[q]]).sum(axis=1) >= MATCHES
+            hit = np.concatenate([(sig[x[p[s : s + CHUNK]]] == sig[y[q[s : s + CHUNK]]]).sum(axis=1) >= AGREE for s in range(0, len(p), CHUNK)] or [np.zeros(0, bool)])
             one, two = ids[x[p[hit]]], ids[y[q[hit]]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 

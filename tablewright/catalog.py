@@ -44,7 +44,7 @@ def _jsonable(table: Declared) -> dict:
     for f in out["fields"]:
         for stamp in ("default", "on_insert", "on_write"):
             f[stamp] = f[stamp] if isinstance(f[stamp], (str, int, float, bool, type(None))) else None
-    return out
+    return json.loads(json.dumps(out))
 
 
 def _declared(state: dict) -> Declared:
@@ -639,7 +639,7 @@ class Table:
         fields = [table.by_name(n) for n in rows[0]]
         kind = lambda f: "string" if f.type.lower() in ("timestamp", "date", "variant") else f.type
         data = [tuple(self._plain(f, r[n]) for f, n in zip(fields, rows[0])) for r in rows]
-        df = self.catalog.spark.createDataFrame(data, ", ".join(f"`{f.stored}` {kind(f)}" for f in fields))
+        df = self.catalog.spark.createDataFrame(data, ", ".join(f"`{f.stored}` {kind(f)}" for f in fields)).coalesce(1)
         return df.select(*[(F.parse_json(f.stored) if f.type.lower() == "variant" else F.col(f"`{f.stored}`").cast(f.type)).alias(f.stored) for f in fields])
 
     @staticmethod
@@ -744,7 +744,7 @@ class Inserting:
         rows = peek(rows)
         if rows is None:
             return []
-        frame = self.table._frame(rows).coalesce(1)
+        frame = self.table._frame(rows)
         stored = self.table._store(frame, self.spec).drop("_action").collect()
         return [r.asDict() for r in stored]
 

@@ -83,7 +83,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     small = needles.count() <= BROADCAST_ROWS
     keys = needles.select("window", "size").distinct()
     base = docs.where("doc_id is not null and text is not null").select("doc_id", template(marked(F.col("text"))).alias("tokens"))
-    made = F.concat(*[F.transform(F.coalesce(_windows(F.col("tokens"), F.lit(n)), F.array().cast("array<bigint>")), lambda x, i, n=n: F.struct(x.alias("window"), F.lit(n).alias("size"), i.alias("doc_at"))) for n in sizes])
+    none = F.array().cast("array<bigint>")
+    windows = lambda n: F.coalesce(_windows(F.col("tokens"), F.lit(n)), none)
+    placed = lambda n: F.transform(windows(n), lambda x, i: F.struct(x.alias("window"), F.lit(n).alias("size"), i.alias("doc_at")))
+    made = F.concat(*[placed(n) for n in sizes])
     if len(sizes) == 1:
         found = base.select("doc_id", F.posexplode(_windows(F.col("tokens"), F.lit(sizes[0]))).alias("doc_at", "window")).withColumn("size", F.lit(sizes[0]))
     else:

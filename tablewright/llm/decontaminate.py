@@ -31,20 +31,25 @@ UNITS = (
 _MARK = "\u0001"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once for a row: optimisers would copy it into each place, and into every step of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def marked(text: Column) -> Column:
     """Lower-case tokens with single spaces; a placeholder token is its type, an equals sign and its value."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}name=$0")
-    out = F.lower(named)
     number = r"\d+(?:[.,:/]\d+)*"
-    with_unit = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}])({number}) ?(%|°c|°f|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", f" {_MARK}num=$1 {_MARK}unit=$2 ")
-    numbers = F.regexp_replace(with_unit, rf"(?<![\p{{L}}\p{{N}}=.,:/])({number})(?![\p{{L}}\p{{N}}])", f" {_MARK}num=$1 ")
-    out = F.when(out.rlike(r"\d"), numbers).otherwise(out)
-    return F.trim(F.regexp_replace(out, rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}=%°.,:/]+|(?<!\d)[.,:/=%°](?<!{_MARK}(?:num|unit|name)=)|[.,:/](?!\d)", " "))
+    unit = rf"(?<![\p{{L}}\p{{N}}])({number}) ?(%|°c|°f|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+    bare = rf"(?<![\p{{L}}\p{{N}}=.,:/])({number})(?![\p{{L}}\p{{N}}])"
+    other = rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}=%°.,:/]+|(?<!\d)[.,:/=%°](?<!{_MARK}(?:num|unit|name)=)|[.,:/](?!\d)"
+    named = F.lower(F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}name=$0"))
+    numbers = lambda x: F.regexp_replace(F.regexp_replace(x, unit, f" {_MARK}num=$1 {_MARK}unit=$2 "), bare, f" {_MARK}num=$1 ")
+    return _let(named, lambda x: F.trim(F.regexp_replace(F.when(x.rlike(r"\d"), numbers(x)).otherwise(x), other, " ")))
 
 
 def template(marked_text: Column) -> Column:
     """The template tokens: placeholders without their values."""
-    bare = F.when(marked_text.contains(_MARK), F.regexp_replace(marked_text, rf"({_MARK}\w+)=\S*", "$1")).otherwise(marked_text)
+    bare = _let(marked_text, lambda x: F.when(x.contains(_MARK), F.regexp_replace(x, rf"({_MARK}\w+)=\S*", "$1")).otherwise(x))
     return F.filter(F.split(bare, " +"), lambda x: x != "")
 
 
@@ -54,9 +59,8 @@ def _values(marked_text: Column) -> Column:
 
 def _windows(tokens: Column, size: Column) -> Column:
     """A hash for every window of ``size`` tokens, in order."""
-    hashed = F.transform(tokens, lambda x: F.xxhash64(x))
-    count = F.size(tokens) - size + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.slice(hashed, i + 1, size))))
+    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(F.slice(h, i + 1, size)))
+    return _let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= size, each(h)))
 
 
 def _items(benchmark: DataFrame, window: int, least: int) -> DataFrame:

@@ -312,6 +312,8 @@ class Catalog:
         if entry["partitioning"]:
             if parts is not None:
                 out = out.where(F.col(ROUTE).isin(list(parts)))
+            if entry.get("hidden"):
+                out = out.where(~F.col(ROUTE).isin(entry["hidden"]))
             out = out.drop(ROUTE)
         return out
 
@@ -338,7 +340,7 @@ class Catalog:
                 shutil.rmtree(path, ignore_errors=True)
                 raise
             entry["versions"].append(path)
-            entry["path"] = path
+            entry["path"], entry["hidden"] = path, []
         return kept
 
     def truncate(self, name: str, cascade: bool = False, restart_identity: bool = False) -> None:
@@ -355,7 +357,7 @@ class Catalog:
                 else:
                     raise IntegrityError(f"{other} refers to {bare}; truncate with cascade")
             entry = self._entry(name)
-            entry["path"] = None
+            entry["path"], entry["hidden"] = None, []
             if restart_identity:
                 entry["sequence"] = 1
 
@@ -396,17 +398,16 @@ class Catalog:
         self.add_partition(name, Partition(partition, "default", comment=comment))
 
     def delete_partition(self, name: str, partition: str) -> None:
-        """The partition with its rows; the other partitions' files are not rewritten by Spark's partition overwrite but left out of the next version."""
+        """The partition with its rows: no other file is touched, as its directory just leaves the current version."""
         with self.transaction():
+            self._lock(name)
             self._touch(name)
             entry = self._entry(name)
             if self.partition(name, partition) is None:
                 raise PartitioningError(f"{name} has no partition {partition}")
-            others = [p["name"] for p in entry["partitions"] if p["name"] != partition.lower()]
-            rows = self.read(name, others)
             entry["partitions"] = [p for p in entry["partitions"] if p["name"] != partition.lower()]
             if entry["path"] is not None:
-                self.write(name, rows)
+                entry["hidden"] = [*entry.get("hidden", []), partition.lower()]
 
     def partitioned_tables(self, schema: str | None = None) -> list[dict]:
         """name, method, key and partitions (with full names and comments) of every partitioned table."""
@@ -529,7 +530,7 @@ class Catalog:
         return dict(self._entry(name)["properties"])
 
     def vacuum(self, name: str, full: bool = False, freeze: bool = False, verbose: bool = False, analyze: bool = False, disable_page_skipping: bool = False, skip_locked: bool = False, index_cleanup: bool = False, truncate: bool = False, parallel: int | None = None) -> dict:
-        """Old versions go; full rewrites the rows into few files, analyze counts them. The other options have no meaning here."""
+        """Old versions and deleted partitions' files go; full rewrites the rows into few files, analyze counts them. The other options have no meaning here."""
         with self.no_transaction("vacuum removes files that a rollback would need"):
             if full:
                 files = max(1, (parallel or 1))
@@ -538,6 +539,7 @@ class Catalog:
                 self._touch(name)
                 entry = self._entry(name)
                 old = [v for v in entry["versions"] if v != entry["path"]]
+                old += [os.path.join(entry["path"], f"{ROUTE}={p}") for p in entry.get("hidden", [])]
                 entry["versions"] = [entry["path"]] if entry["path"] else []
                 if analyze:
                     entry["properties"]["rows"] = str(self.read(name).count())

@@ -7,7 +7,7 @@ that thousands of sets share are skipped wherever a set has rarer ones. Rareness
 count sketch of fixed size; any order that all sets agree on keeps the result whole.
 
 No posting list is expanded into all its pairs. Round one compares each member with the list's
-smallest set; verified links make components. Round two compares only members of one list that
+smallest set, its hub; verified links make components. Round two compares only members of one hub that
 still lie in different components, in blocks of bounded size. A candidate with enough equal
 coordinates is confirmed on the full shingle sets, and components of confirmed links are the result.
 """
@@ -165,35 +165,43 @@ def enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full shingle sets of the whole texts.
-
-    fetch gives one row (id, text) for each of a table of ids.
-    """
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(id, found): the sorted shingle hashes of texts (id, text)."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes, rows = word_hashes(block.column("text"))
             every, bounds = shingle_rows(hashes, rows, n)
             found = [every[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(found, pa.binary())], ["id", "found"])
 
+    return texts.select("id", "text").mapInArrow(run, "id long, found binary")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    small, large = sorted((x, y), key=len)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union on the full shingle sets of the whole texts.
+
+    fetch gives one row (id, text) for each of a table of ids.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xa"), batch.column("xb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = sorted((x, y), key=len)
-                common = 0
-                if 100 * len(small) >= percent * len(large):
-                    at = np.searchsorted(large, small)
-                    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            both = zip(batch.column("xa"), batch.column("xb"))
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    found = written(fetch(ids).select("id", "text").mapInArrow(sets, "id long, found binary"), "sets")
+    found = written(_sets(fetch(ids), n), "sets")
     return (
         pairs.join(found.select(F.col("id").alias("a"), F.col("found").alias("xa")), "a")
         .join(found.select(F.col("id").alias("b"), F.col("found").alias("xb")), "b")
@@ -202,25 +210,42 @@ def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int,
     )
 
 
-def crossing(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) among members of one posting list that lie in different components.
-
-    listed: token, id, component. Lists within one component are dropped; the others are dealt
-    into blocks of about BLOCK members, and each pair of blocks is one bounded group in which
-    equal coordinates are counted; only pairs that agree in AGREE of WIDE become rows.
+def _candidates(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x, y of a pair of blocks that lie in different components, fit in size and agree in AGREE of WIDE coordinates."""
+    ids, size, part, i, j, own, token = (group.column(c).to_numpy() for c in ("id", "n", "component", "i", "j", "own", "token"))
+    sig = _brief(group, "brief")
+    x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    fit = (part[x, None] != part[None, y]) & (100 * np.minimum(size[x, None], size[None, y]) >= percent * np.maximum(size[x, None], size[None, y]))
+    fit &= (ids[x] != token[x])[:, None] & (ids[y] != token[y])[None, :]  # the hub has met all
+    if i[0] == j[0]:
+        fit &= x[:, None] < y[None, :]
+    p, q = np.nonzero(fit)
+    hit = [(sig[x[p[s : s + CHUNK]]] == sig[y[q[s : s + CHUNK]]]).sum(axis=1) >= AGREE for s in range(0, len(p), CHUNK)]
+    hit = np.concatenate(hit) if hit else np.zeros(0, bool)
+    return x[p[hit]], y[q[hit]]
+
+
+def crossing(listed: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) among members of one hub that lie in different components.
+
+    listed: token (the hub), id, component. Hubs within one component are dropped; the others' members are
+    dealt into blocks of about BLOCK, and each pair of blocks is one bounded group. A first pass compares
+    signatures and names the members that have a candidate; a second brings their shingle sets to the
+    group and confirms there. Neither makes a row for a pair that is no link.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["token", "i", "j"]):
+            x, y = _candidates(group, percent)
+            if len(x):
+                yield group.take(pa.array(np.unique(np.concatenate([x, y]))))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["token", "i", "j"]):
-            ids, size, part, i, j, own = (group.column(c).to_numpy() for c in ("id", "n", "component", "i", "j", "own"))
-            sig = _brief(group, "brief")
-            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            fit = (part[x, None] != part[None, y]) & (100 * np.minimum(size[x, None], size[None, y]) >= percent * np.maximum(size[x, None], size[None, y]))
-            if i[0] == j[0]:
-                fit &= x[:, None] < y[None, :]
-            p, q = np.nonzero(fit)
-            hit = np.concatenate([(sig[x[p[s : s + CHUNK]]] == sig[y[q[s : s + CHUNK]]]).sum(axis=1) >= AGREE for s in range(0, len(p), CHUNK)] or [np.zeros(0, bool)])
-            one, two = ids[x[p[hit]]], ids[y[q[hit]]]
+            x, y = _candidates(group, percent)
+            ids, sets = group.column("id").to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in group.column("found")]
+            keep = np.array([_alike(sets[p], sets[q], percent) for p, q in zip(x, y)], dtype=bool)
+            one, two = ids[x[keep]], ids[y[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
     spans = (
@@ -232,8 +257,12 @@ def crossing(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         "other", F.explode(F.expr("sequence(0, parts - 1)"))
     )
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "brief")
-    dealt = dealt.repartition(partitions(listed.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    order, count = ["token", "i", "j"], partitions(listed.sparkSession)
+    schema = "token long, i int, j int, own int, id long, n long, component long, brief binary"
+    asked = written(dealt.repartition(count, *order).sortWithinPartitions(*order).mapInArrow(some, schema), "asked")
+    sets = written(_sets(fetch(asked.select("id").distinct()), n), "sets")
+    full = asked.join(sets, "id").select(*asked.columns, "found")
+    return full.repartition(count, *order).sortWithinPartitions(*order).mapInArrow(confirm, "a long, b long").distinct()
 
 
 def clusters(classes: DataFrame, posted: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
@@ -242,10 +271,10 @@ def clusters(classes: DataFrame, posted: DataFrame, fetch: Callable[[DataFrame],
     hubs = written(posted.join(lists, "token").where("id > a").select("a", F.col("id").alias("b")).distinct(), "hubs")
     links = written(confirmed(enough(hubs, classes, percent), fetch, n, percent), "links")
     parts = written(components(links), "parts")
-    shared = posted.join(lists.where("m > 2").select("token"), "token", "left_semi")
-    listed = shared.join(parts.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-    untried = crossing(written(listed, "listed"), classes, percent).join(hubs, ["a", "b"], "left_anti")
-    more = written(confirmed(untried, fetch, n, percent), "links")
+    # lists with one hub hold much the same members: together they are one list, without the repeats
+    members = hubs.select(F.col("a").alias("token"), F.col("b").alias("id")).union(hubs.select("a", "a").distinct())
+    listed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
+    more = written(crossing(written(listed, "listed"), classes, fetch, n, percent), "links")
     if more.isEmpty():
         return parts
     return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

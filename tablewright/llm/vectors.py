@@ -1,14 +1,16 @@
 """Embedding near-duplicates by sorted projection passes.
 
 Each pass orders the vectors of a label lexicographically by the concatenated signs of random
-projections, and compares every vector with the next ``window`` in that order; what a pass links is
-handed on as stars, one edge for each vector at most. The union of all passes gives components.
+projections, and compares all vectors whose strings begin with the same ``bits`` signs, in blocks of
+bounded size, so that nothing hangs on the ranges that tasks get; what a block links is handed on as
+stars, one edge for each vector at most. The union of all passes gives components.
 Links are then counted exactly among all members of a component, in blocks, so a group larger than
-any window loses none. Equal vectors of a label are one class throughout and are never paired.
+any block loses none. Equal vectors of a label are one class throughout and are never paired.
 
-The number of passes follows from the size of the largest label: two vectors at the threshold agree
-in a sign with probability 1 - arccos(threshold) / pi, and meet in a window when they agree in the
-first log2(rows / window) signs. A range boundary between tasks hides at most window rows of one pass.
+Two vectors at the threshold agree in a sign with probability 1 - arccos(threshold) / pi, and meet in a
+pass when they agree in the first ``bits``, however their label's vectors lie: the passes that a number
+of bits asks for follow from it. The bits of a label are those that make the least work by its counted cells, so
+a label whose vectors share a direction gets larger cells or, with no bits at all, one pass over all its pairs.
 """
 
 from __future__ import annotations
@@ -19,17 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import components, partitions, runs, written
 
-WINDOW = 32
 #: Chance that one pair at the threshold is met in no pass.
 MISSED = 0.003
 SIGNS = 48
 BLOCK = 512
+#: Vectors of one block where a cell is compared.
+CELL = 1024
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -63,11 +65,45 @@ def _read(rows: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "vec_id long, label string, dim int, k1 long, k2 long, raw binary")
 
 
-def passes_for(rows: int, threshold: float, window: int = WINDOW, missed: float = MISSED) -> int:
-    """Passes after which a pair at the threshold is missed with the given chance."""
-    same = 1 - math.acos(min(1.0, threshold)) / math.pi
-    met = same ** max(0.0, math.log2(max(1, rows) / window))
-    return 2 if met >= 1 else max(2, math.ceil(math.log(missed) / math.log(1 - met)))
+def passes_for(bits: int, threshold: float, missed: float = MISSED) -> int:
+    """Passes after which a pair at the threshold has agreed in the first ``bits`` signs of none with the given chance."""
+    met = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if met >= 1 else max(1, math.ceil(math.log(missed) / math.log1p(-met)))
+
+
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pass, label, dim, signs, id for every pass of the row's own number of passes."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, 1024):
+            part = batch.slice(s, 1024)
+            dims, own_passes = part.column("dim").to_numpy(), part.column("passes").to_numpy()
+            for dim, most in np.unique(np.stack([dims, own_passes]), axis=1).T:
+                own = part.filter(pa.array((dims == dim) & (own_passes == most)))
+                unit = _matrix(own.column("raw"))
+                for p in range(most):
+                    planes = np.random.default_rng((p, int(dim))).standard_normal((int(dim), SIGNS))
+                    signs = (unit @ planes > 0).astype(np.int64) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(signs), p, dtype=np.int32)), own.column("label"), own.column("dim"), own.column("bits"), pa.array(signs), own.column("id")],
+                        ["pass", "label", "dim", "bits", "signs", "id"],
+                    )
+
+
+_SIGNED = "pass int, label string, dim int, bits int, signs long, id long"
+
+
+def planned(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
+    """label, dim, bits, passes: the bits that make the fewest copies of rows, by the cells of the first pass."""
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    depths = range(min(SIGNS, math.ceil(math.log2(max(1, largest / cell))) + 9) if largest > cell else 1)
+    first = classes.select("id", "label", "dim", "raw", F.lit(0).alias("bits"), F.lit(1).alias("passes")).mapInArrow(_signs, _SIGNED)
+    prefix = F.expr(f"shiftright(signs, {SIGNS} - bits)")
+    tried = first.select("label", "dim", "signs", F.explode(F.array(*map(F.lit, depths))).alias("bits"))
+    cells = tried.groupBy("label", "dim", "bits", prefix.alias("prefix")).agg(F.count("*").alias("n"))
+    passes = F.get(F.array(*[F.lit(passes_for(b, threshold)) for b in depths]), F.col("bits"))
+    work = cells.groupBy("label", "dim", "bits").agg(F.sum(F.expr(f"n * ceil(n / {cell})")).alias("copies")).withColumn("passes", passes)
+    best = work.groupBy("label", "dim").agg(F.min(F.struct((F.col("copies") * F.col("passes")).alias("work"), "bits", "passes")).alias("best"))
+    return best.select("label", "dim", "best.bits", "best.passes")
 
 
 def _stars(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -83,53 +119,30 @@ def _stars(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return low
 
 
-def _neighbours(classes: DataFrame, passes: int, threshold: float, window: int) -> DataFrame:
+def _neighbours(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
     """Edges (a, b) from every pass; a and b are joined by verified links."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
-                dims = part.column("dim").to_numpy()
-                for dim in np.unique(dims):
-                    own = part.filter(pa.array(dims == dim))
-                    unit = _matrix(own.column("raw"))
-                    for p in range(passes):
-                        planes = np.random.default_rng((p, int(dim))).standard_normal((int(dim), SIGNS))
-                        signs = (unit @ planes > 0).astype(np.int64) @ (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(signs), p, dtype=np.int32)), own.column("label"), own.column("dim"), pa.array(signs), own.column("id"), own.column("raw")],
-                            ["pass", "label", "dim", "signs", "id", "raw"],
-                        )
+    order = ["pass", "label", "dim", "prefix", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for whole in batches:
-            for s in range(0, whole.num_rows, 2048):
-                batch = whole.slice(s, 2048)
-                if kept is not None:
-                    batch = pa.concat_batches([kept, batch])
-                kept = batch.slice(max(0, batch.num_rows - window))
-                group = pc.binary_join_element_wise(
-                    batch.column("pass").cast("string"), batch.column("label"), batch.column("dim").cast("string"), "\x00"
-                ).to_numpy(zero_copy_only=False)
-                dims = batch.column("dim").to_numpy()
-                for dim in np.unique(dims):
-                    at = np.flatnonzero(dims == dim)
-                    unit, ids, own = _matrix(batch.column("raw").take(pa.array(at))), batch.column("id").to_numpy()[at], group[at]
-                    xs, ys = [], []
-                    for o in range(1, min(window, len(at) - 1) + 1):
-                        hit = np.flatnonzero((np.einsum("ij,ij->i", unit[:-o], unit[o:]) >= threshold) & (own[:-o] == own[o:]))
-                        xs.append(hit)
-                        ys.append(hit + o)
-                    x, y = np.concatenate(xs or [[]]).astype(np.int64), np.concatenate(ys or [[]]).astype(np.int64)
-                    low = _stars(len(at), x, y)
-                    far = np.flatnonzero(low != np.arange(len(at)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[low[far]]), pa.array(ids[far])], ["a", "b"])
-
-    order = ["pass", "label", "dim", "signs", "id"]
-    dealt = classes.select("id", "label", "dim", "raw").mapInArrow(keys, "pass int, label string, dim int, signs long, id long, raw binary")
-    dealt = dealt.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
+        for group in runs(batches, order):
+            unit, ids = _matrix(group.column("raw")), group.column("id").to_numpy()
+            i, j, own = (group.column(c).to_numpy() for c in ("i", "j", "own"))
+            near = np.triu(unit @ unit.T >= threshold, 1)
+            if i[0] != j[0]:  # within a block they are compared elsewhere
+                near &= own[:, None] != own[None, :]
+            low = _stars(len(ids), *np.nonzero(near))
+            far = np.flatnonzero(low != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low[far]]), pa.array(ids[far])], ["a", "b"])
+
+    plan = written(planned(classes, threshold, cell), "plan")
+    signed = classes.join(plan, ["label", "dim"]).select("id", "label", "dim", "raw", "bits", "passes").mapInArrow(_signs, _SIGNED)
+    signed = written(signed.select("pass", "label", "dim", F.expr(f"shiftright(signs, {SIGNS} - bits)").alias("prefix"), "id"), "signed")
+    sizes = signed.groupBy(*order[:4]).agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select(*order[:4], F.expr(f"cast(ceil(n / {cell}) as int)").alias("parts"))
+    dealt = signed.join(sizes, order[:4]).withColumn("own", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.select(*order, "own", "id").join(classes.select("id", "raw"), "id").select(*order, "own", "id", "raw")
+    dealt = dealt.repartition(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
     return dealt.mapInArrow(compare, "a long, b long").where("a != b").distinct()
 
 
@@ -156,7 +169,7 @@ def _counted(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.93, window: int = WINDOW) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.93, cell: int = CELL) -> DataFrame:
     """Links by cosine >= threshold among vectors of one label (vec_id, label, embedding; others are ignored).
 
     Returns a row per input row: vec_id, n_links, component_id, kept, class_id (smallest vec_id with an
@@ -173,8 +186,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, window: int = WINDOW)
     )
     unique = found.join(classes, ["label", "dim", "k1", "k2"]).where("vec_id = id").dropDuplicates(["label", "dim", "k1", "k2"])
     unique = written(unique.select("id", "n", "label", "dim", "raw"), "classes")
-    largest = unique.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    edges = _neighbours(unique, passes_for(largest, threshold, window), threshold, window)
+    edges = _neighbours(unique, threshold, cell)
     parts = written(components(edges), "parts").withColumnsRenamed({"node": "id"})
     counted = _counted(unique.join(parts, "id").select("component", "id", "n", "raw"), threshold)
     per_class = parts.join(counted, "id", "left")

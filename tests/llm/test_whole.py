@@ -3,7 +3,10 @@
 import itertools
 import random
 
-from tablewright.llm import lines
+import numpy as np
+import pytest
+
+from tablewright.llm import lines, vectors
 from tests.llm.test_small import Groups
 
 
@@ -30,3 +33,42 @@ def test_lines_of_long_lists(frame):
         texts += [" ".join(w) for w in own]
     r.shuffle(texts)
     assert {x.doc_id for x in lines.removed_lines(frame(list(enumerate(texts)))).collect()} == like_lines(texts)
+
+
+def planted_vectors(labels, rows, pull, pairs, seed=3):
+    """(vec_id, embedding, label): rows vectors of each label that share a direction, and a partner at cosine 0.932 for some of them."""
+    r, out = np.random.default_rng(seed), []
+    for label in range(labels):
+        x = r.standard_normal((rows, 64))
+        shared = r.standard_normal(64)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) + pull * shared / np.linalg.norm(shared)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        u, y = x[:pairs], r.standard_normal((pairs, 64))
+        y -= (y * u).sum(axis=1, keepdims=True) * u
+        both = np.concatenate([x, 0.932 * u + np.sqrt(1 - 0.932**2) * y / np.linalg.norm(y, axis=1, keepdims=True)])
+        out += [(label * 100_000 + i, v.tolist(), label) for i, v in enumerate(both)]
+    return out
+
+
+def vector_links(rows):
+    """The pairs of one label at cosine 0.93, by brute force."""
+    out = set()
+    for label in {x[2] for x in rows}:
+        ids, x = zip(*((i, v) for i, v, m in rows if m == label))
+        near = np.triu(np.array(x) @ np.array(x).T >= 0.93, 1)
+        out |= {(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))}
+    return out
+
+
+def linked(spark, rows, **more):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    return {x.vec_id for x in vectors.near_vectors(df, **more).where("n_links > 0").collect()}
+
+
+@pytest.mark.parametrize("cell", [1024, 64])  # 64: cells of several signs
+def test_vectors_of_one_direction(spark, cell):
+    rows = planted_vectors(1, 2000, 2.1, 200)
+    want = {i for pair in vector_links(rows) for i in pair}
+    got = linked(spark, rows, cell=cell) if cell != 1024 else linked(spark, rows)
+    assert len(want) >= 400 and got <= want
+    assert got == want if cell == 1024 else len(got) >= 0.98 * len(want)

@@ -72,3 +72,13 @@ def test_vectors_of_one_direction(spark, cell):
     got = linked(spark, rows, cell=cell) if cell != 1024 else linked(spark, rows)
     assert len(want) >= 400 and got <= want
     assert got == want if cell == 1024 else len(got) >= 0.98 * len(want)
+
+
+def test_vectors_of_many_partitions(spark):
+    rows = planted_vectors(10, 14, 0, 6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert linked(spark, rows) == {i for pair in vector_links(rows) for i in pair}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

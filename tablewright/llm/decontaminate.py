@@ -3,8 +3,9 @@
 Numbers, the units behind them and names (capitalised words inside a sentence) become typed
 placeholders, all else lower-case words. Windows of WINDOW template tokens of every benchmark item are
 hash-joined with those of every document, so a question with other numbers or names still meets
-its template. A window counts when it lies in an alignment of document and item whose slots are
-consistent: each value of the item stands for one value of the document and the reverse. A document
+its template. A window counts when its slots are consistent with its alignment of document and item:
+each value of the item stands for the one value of the document that most of its slots have there, and
+windows that hold an outvoted slot, or one of a tied vote, are discarded. A document
 is contaminated by an item when at least ``coverage`` of the item's windows count.
 """
 
@@ -114,20 +115,24 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         "doc_id",
         "item_key",
         (F.col("doc_at") - F.col("at")).alias("shift"),
+        "at",
         F.explode(
             F.filter(
                 F.transform(
                     F.sequence(F.lit(1), F.col("size")),
-                    lambda k: F.struct(F.get(F.col("item_values"), F.col("at") + k - 1).alias("x"), F.get(F.col("doc_values"), F.col("doc_at") + k - 1).alias("y")),
+                    lambda k: F.struct((F.col("at") + k).alias("p"), F.get(F.col("item_values"), F.col("at") + k - 1).alias("x"), F.get(F.col("doc_values"), F.col("doc_at") + k - 1).alias("y")),
                 ),
                 lambda s: s["x"].contains(_MARK),
             )
         ).alias("slot"),
     )
-    clash = pairs.groupBy("doc_id", "item_key", "shift").agg(
-        F.count_distinct("slot.x").alias("nx"), F.count_distinct("slot.y").alias("ny"), F.count_distinct("slot").alias("n")
-    ).where("nx < n or ny < n")
-    good = places.withColumn("shift", F.col("doc_at") - F.col("at")).join(clash, ["doc_id", "item_key", "shift"], "left_anti")
+    pairs = written(pairs.select("doc_id", "item_key", "shift", "at", "slot.*"), "slots")
+    of_value = ["doc_id", "item_key", "shift", "x"]
+    votes = pairs.groupBy(*of_value, "y").agg(F.count_distinct("p").alias("n"))
+    most = votes.groupBy(*of_value).agg(F.max(F.struct("n", "y")).alias("top"), F.sort_array(F.collect_list("n"), False).alias("ns")).where("size(ns) > 1")
+    most = most.select(*of_value, F.expr("if(ns[0] > ns[1], top.y, null)").alias("winner"))
+    lost = pairs.join(most, of_value).where("winner is null or y != winner").select("doc_id", "item_key", "shift", "at").distinct()
+    good = places.withColumn("shift", F.col("doc_at") - F.col("at")).join(lost, ["doc_id", "item_key", "shift", "at"], "left_anti")
     counted = good.groupBy("doc_id", "item_key", "at").count().groupBy("doc_id", "item_key").agg(F.count("*").alias("n_matched"))
     told = counted.join(facts.select("item_key", "item_id", "n_windows"), "item_key").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     told = told.where(F.col("coverage") >= coverage)

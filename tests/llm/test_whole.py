@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tablewright.llm import lines, vectors
+from tablewright.llm import decontaminate, lines, vectors
 from tests.llm.test_small import Groups
 
 
@@ -82,3 +82,14 @@ def test_vectors_of_many_partitions(spark):
         assert linked(spark, rows) == {i for pair in vector_links(rows) for i in pair}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_decontamination_of_changed_values(spark, frame):
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    years = say(20) + " 1987 " + say(11) + " 1987 " + say(20)
+    apples = "one has {} apples and buys {} more apples so how many apples are there now"
+    bench = spark.createDataFrame([(1, years), (2, apples.format(5, 3))], "item_id long, text string")
+    docs = [(1, years.replace("1987", "1991", 1)), (2, apples.format(4, 4)), (3, say(60))]
+    got = {(x.doc_id, x.item_id): x.n_matched for x in decontaminate.contaminations(frame(docs), bench).collect()}
+    assert got == {(1, 1): 30, (2, 2): 9}

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, the units behind them and names (capitalised words inside a sentence) become typed
-placeholders, all else lower-case words. Windows of WINDOW template tokens of every benchmark item are
+placeholders, all else lower-case words. A capitalised word that opens a text, sentence, line or quotation may
+be a name or not: windows that hold one are posted both ways. Windows of WINDOW template tokens of every benchmark item are
 hash-joined with those of every document, so a question with other numbers or names still meets
 its template. A window counts when its slots are consistent with its alignment of document and item:
 each value of the item stands for the one value of the document that most of its slots have there, and
@@ -30,6 +31,8 @@ UNITS = (
     "gallons seconds minutes hours days weeks months years dollars euros cents usd eur gbp mph kph kmh"
 ).split()
 _MARK = "\u0001"
+#: Where a capitalised word opens a text, line, sentence, quotation or bracket.
+_OPENS = r"(?<=^\s{0,8}|\n\s{0,8}|[.!?][\"'”’»)\]]{0,2}\s{1,3}|[\"'“„”«»‘(\[¿¡])"
 
 
 def _let(value: Column, use) -> Column:
@@ -42,20 +45,23 @@ def marked(text: Column) -> Column:
     number = r"\d+(?:[.,:/]\d+)*"
     unit = rf"(?<![\p{{L}}\p{{N}}])({number}) ?(%|°c|°f|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
     bare = rf"(?<![\p{{L}}\p{{N}}=.,:/])({number})(?![\p{{L}}\p{{N}}])"
-    other = rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}=%°.,:/]+|(?<!\d)[.,:/=%°](?<!{_MARK}(?:num|unit|name)=)|[.,:/](?!\d)"
-    named = F.lower(F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}name=$0"))
+    other = rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}=%°.,:/]+|(?<!\d)[.,:/=%°](?<!{_MARK}(?:num|unit|name|open)=)|[.,:/](?!\d)"
+    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}name=$0")
+    named = F.lower(F.regexp_replace(named, rf"{_OPENS}\p{{Lu}}[\p{{L}}\p{{M}}]*", f"{_MARK}open=$0"))
     numbers = lambda x: F.regexp_replace(F.regexp_replace(x, unit, f" {_MARK}num=$1 {_MARK}unit=$2 "), bare, f" {_MARK}num=$1 ")
     return _let(named, lambda x: F.trim(F.regexp_replace(F.when(x.rlike(r"\d"), numbers(x)).otherwise(x), other, " ")))
 
 
-def template(marked_text: Column) -> Column:
-    """The template tokens: placeholders without their values."""
-    bare = _let(marked_text, lambda x: F.when(x.contains(_MARK), F.regexp_replace(x, rf"({_MARK}\w+)=\S*", "$1")).otherwise(x))
+def template(marked_text: Column, names: bool = False) -> Column:
+    """The template tokens: placeholders without their values; opening capitalised words are names, or else words."""
+    told = lambda x: F.regexp_replace(x, f"{_MARK}open=", f"{_MARK}name=" if names else "")
+    bare = _let(marked_text, lambda x: F.when(x.contains(_MARK), F.regexp_replace(told(x), rf"({_MARK}\w+)=\S*", "$1")).otherwise(x))
     return F.filter(F.split(bare, " +"), lambda x: x != "")
 
 
 def _values(marked_text: Column) -> Column:
-    return F.filter(F.split(marked_text, " +"), lambda x: x != "")
+    """The tokens with their values; an opening capitalised word is a name's value."""
+    return F.filter(F.split(F.regexp_replace(marked_text, f"{_MARK}open=", f"{_MARK}name="), " +"), lambda x: x != "")
 
 
 def _windows(tokens: Column, size: Column) -> Column:
@@ -64,11 +70,24 @@ def _windows(tokens: Column, size: Column) -> Column:
     return _let(F.transform(tokens, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= size, each(h)))
 
 
+def _both(size: Column) -> Column:
+    """The windows of ``tokens`` and those of ``named`` in one array for each place, without repeats."""
+    same = F.transform(_windows(F.col("tokens"), size), lambda x: F.array(x))
+    apart = F.zip_with(_windows(F.col("tokens"), size), _windows(F.col("named"), size), lambda x, y: F.array_distinct(F.array(x, y)))
+    return F.when(F.col("named").isNull(), same).otherwise(apart)
+
+
+def _read(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, marked, tokens, and named: the tokens with opening words as names, null where there are none."""
+    out = texts.select(*keys, marked(F.col("text")).alias("marked"))
+    opened = F.when(F.col("marked").contains(f"{_MARK}open="), template(F.col("marked"), names=True))
+    return out.select(*keys, "marked", template(F.col("marked")).alias("tokens"), opened.alias("named"))
+
+
 def _items(benchmark: DataFrame, window: int, least: int) -> DataFrame:
-    """item_id, values, size, n_windows and tokens of every item that can match."""
+    """item_id, values, size, n_windows, tokens and named tokens of every item that can match."""
     out = benchmark.where("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
-    out = out.select("item_id", marked(F.col("text")).alias("marked"))
-    out = out.select("item_id", template(F.col("marked")).alias("tokens"), _values(F.col("marked")).alias("item_values"))
+    out = _read(out, "item_id").select("item_id", "tokens", "named", _values(F.col("marked")).alias("item_values"))
     out = out.withColumn("size", F.least(F.lit(window), F.size("tokens"))).where(f"size >= {least}")
     return out.withColumns({"n_windows": F.size("tokens") - F.col("size") + 1, "item_key": F.xxhash64("item_id", "tokens", "item_values")})
 
@@ -81,21 +100,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     as one window. A repeated item_id is contaminating if any of its texts is; rows that repeat a doc_id are one document.
     """
     items = written(_items(benchmark, window, least), "items")
-    needles = written(items.select("item_key", "size", F.posexplode(_windows(F.col("tokens"), F.col("size"))).alias("at", "window")), "needles")
+    needles = written(items.select("item_key", "size", F.posexplode(_both(F.col("size"))).alias("at", "both")).select("item_key", "size", "at", F.explode("both").alias("window")), "needles")
     sizes = [r[0] for r in needles.select("size").distinct().collect()]  # at most ``window`` values
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows int, n_matched long, coverage double")
     small = needles.count() <= BROADCAST_ROWS
     keys = needles.select("window", "size").distinct()
-    base = docs.where("doc_id is not null and text is not null").select("doc_id", template(marked(F.col("text"))).alias("tokens"))
-    none = F.array().cast("array<bigint>")
-    windows = lambda n: F.coalesce(_windows(F.col("tokens"), F.lit(n)), none)
-    placed = lambda n: F.transform(windows(n), lambda x, i: F.struct(x.alias("window"), F.lit(n).alias("size"), i.alias("doc_at")))
+    base = _read(docs.where("doc_id is not null and text is not null"), "doc_id").select("doc_id", "tokens", "named")
+    none = F.array().cast("array<array<bigint>>")
+    windows = lambda n: F.coalesce(_both(F.lit(n)), none)
+    placed = lambda n: F.transform(windows(n), lambda x, i: F.struct(x.alias("both"), F.lit(n).alias("size"), i.alias("doc_at")))
     made = F.concat(*[placed(n) for n in sizes])
     if len(sizes) == 1:
-        found = base.select("doc_id", F.posexplode(_windows(F.col("tokens"), F.lit(sizes[0]))).alias("doc_at", "window")).withColumn("size", F.lit(sizes[0]))
+        found = base.select("doc_id", F.posexplode(_both(F.lit(sizes[0]))).alias("doc_at", "both")).withColumn("size", F.lit(sizes[0]))
     else:
         found = base.select("doc_id", F.inline(made))
+    found = found.select("doc_id", "size", "doc_at", F.explode("both").alias("window"))
     # which windows are the benchmark's at all; few are, so what follows is small
     hits = written(found.join(F.broadcast(keys) if small else keys, ["window", "size"], "left_semi"), "hits")
     places = hits.join(F.broadcast(needles) if small else needles, ["window", "size"]).select("doc_id", "item_key", "at", "doc_at")
@@ -120,7 +140,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             F.filter(
                 F.transform(
                     F.sequence(F.lit(1), F.col("size")),
-                    lambda k: F.struct((F.col("at") + k).alias("p"), F.get(F.col("item_values"), F.col("at") + k - 1).alias("x"), F.get(F.col("doc_values"), F.col("doc_at") + k - 1).alias("y")),
+                    lambda k: F.struct((F.col("at") + k).alias("p"), F.get(F.col("item_values"), F.col("at") + k - 1).alias("x"), F.regexp_replace(F.get(F.col("doc_values"), F.col("doc_at") + k - 1), f"^{_MARK}\\w+=", "").alias("y")),
                 ),
                 lambda s: s["x"].contains(_MARK),
             )

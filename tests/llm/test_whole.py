@@ -93,3 +93,12 @@ def test_decontamination_of_changed_values(spark, frame):
     docs = [(1, years.replace("1987", "1991", 1)), (2, apples.format(4, 4)), (3, say(60))]
     got = {(x.doc_id, x.item_id): x.n_matched for x in decontaminate.contaminations(frame(docs), bench).collect()}
     assert got == {(1, 1): 30, (2, 2): 9}
+
+
+def test_decontamination_of_opening_names(spark, frame):
+    asked = "{0} has {1} apples. {0} buys {2} more apples. How many apples does {0} have now?"
+    once = "{} has {} apples and then buys {} more of them. How many apples are there now?"
+    bench = spark.createDataFrame([(1, asked.format("Tom", 5, 3)), (2, once.format("Tom", 5, 3))], "item_id long, text string")
+    docs = [(1, "So. " + asked.format("Sara", 4, 7)), (2, '"' + once.format("Sara", 2, 9) + '"'), (3, "Tom has apples.")]
+    got = {(x.doc_id, x.item_id): x.coverage for x in decontaminate.contaminations(frame(docs), bench).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0}

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tablewright.llm import decontaminate, lines, vectors
+from tablewright.llm import decontaminate, lines, registry, vectors
 from tests.llm.test_small import Groups
 
 
@@ -102,3 +102,10 @@ def test_decontamination_of_opening_names(spark, frame):
     docs = [(1, "So. " + asked.format("Sara", 4, 7)), (2, '"' + once.format("Sara", 2, 9) + '"'), (3, "Tom has apples.")]
     got = {(x.doc_id, x.item_id): x.coverage for x in decontaminate.contaminations(frame(docs), bench).collect()}
     assert got == {(1, 1): 1.0, (2, 2): 1.0}
+
+
+def test_short_paragraphs_of_the_query(spark, tmp_path):
+    texts = ["all rights are reserved by us\nhello\n\n", "x y z\nAll rights are reserved by us\n\nhello", None, "hello\n \nx y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.removed_paragraphs for x in registry.op5_paragraph_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: [], 1: [1, 3], 2: [], 3: [0]}

@@ -109,3 +109,8 @@ def test_short_paragraphs_of_the_query(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {x.doc_id: x.removed_paragraphs for x in registry.op5_paragraph_dedup(spark, str(tmp_path)).collect()}
     assert got == {0: [], 1: [1, 3], 2: [], 3: [0]}
+
+
+def test_repetitive_lines(frame):
+    texts = ["- " * 10 + "-", "- " * 30 + "-", "0 " * 12 + "0", "0 " * 50 + "0"]
+    assert {x.doc_id for x in lines.removed_lines(frame(list(enumerate(texts)))).collect()} == like_lines(texts) == {1, 3}

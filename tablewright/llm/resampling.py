@@ -3,7 +3,10 @@
 Words and word pairs of whole texts fall into ``buckets`` counters, over all texts (raw) and over
 those labelled good (target). A document's weight is the sum over its n-grams of the logarithm of
 target to raw probability; the k documents with the largest weight plus Gumbel noise are a sample
-without replacement in proportion to exp(weight). Noise comes from a hash of doc_id and the seed.
+without replacement in proportion to exp(weight). Noise comes from a hash of doc_id, the text and the seed.
+
+The raw model counts every text. The target model is fitted on a bounded sample of the good labels, about ``fit_rows`` ids
+picked by a hash of doc_id: they are broadcast, so that no text is shuffled to meet its label.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ SMOOTHING = 1.0
 #: Share of the documents that have a word which the sample has.
 SHARE = 0.85
 SEED = 6
+#: Good labels that the target model is fitted on, about; all of them where there are fewer.
+FIT_ROWS = 100_000
 #: Keys left when the search for the k-th largest ends in one sorted list.
 LAST = 4096
 
@@ -73,11 +78,13 @@ def scored(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
             at, row = grams(block.column("text"), len(shared.value))
             n = np.bincount(row, minlength=block.num_rows)
             weight = np.bincount(row, weights=shared.value[at], minlength=block.num_rows)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n), pa.array(weight, mask=n == 0)], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("noise"), pa.array(n), pa.array(weight, mask=n == 0)], ["doc_id", "noise", "n_grams", "log_weight"])
 
-    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weighed = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
-    return weighed.withColumn("sampling_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    # a null doc_id is told from others by its text, and so are rows that repeat a doc_id with another text
+    uniform = (F.pmod(F.xxhash64("doc_id", F.col("noise"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    noisy = docs.select("doc_id", "text", F.xxhash64("text").alias("noise"))
+    weighed = noisy.mapInArrow(run, "doc_id long, noise long, n_grams long, log_weight double")
+    return weighed.withColumn("sampling_key", F.col("log_weight") - F.log(-F.log(uniform))).drop("noise")
 
 
 def kth_largest(df: DataFrame, column: str, k: int, last: int = LAST) -> float | None:
@@ -101,14 +108,26 @@ def kth_largest(df: DataFrame, column: str, k: int, last: int = LAST) -> float |
     return sorted((r[0] for r in df.where(value.between(lo, hi)).select(value).collect()), reverse=True)[k - 1]
 
 
-def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+def good_ids(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id of the documents with a label of quality 1: all, or about ``fit_rows`` of them, picked by a hash of doc_id."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    n = good.count()
+    if n <= fit_rows:
+        return good
+    span = 1 << 30
+    return good.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(span)) < int(span * fit_rows / n))
+
+
+def resampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, buckets: int = BUCKETS, seed: int = SEED, fit_rows: int = FIT_ROWS) -> DataFrame:
     """A sample of documents (doc_id, text) that resembles those labelled quality 1 (doc_id, quality).
 
     Returns doc_id, n_grams, log_weight, sampling_key, kept for every document. The sample has
     round(share * documents with a word); rows with the k-th key itself all stay. A document is good
-    if any of its labels is 1. Texts without a word have null weight and are not kept. Other columns are ignored.
+    if any of its labels is 1. Texts without a word (null, empty, blank) have null weight and are not kept. Texts are read whole, however
+    long. Without a good label every weight is 0. Rows that repeat a doc_id are judged one by one: equal texts share weight and noise,
+    unlike ones do not; a null doc_id is never labelled. An empty table gives an empty result. Other columns are ignored.
     """
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    good = F.broadcast(good_ids(labels, fit_rows).withColumn("good", F.lit(True)))  # fit_rows ids of 8 bytes, about
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ratio = log_ratio(*gram_counts(marked, buckets))
     found = written(scored(docs, ratio, seed), "scored")

@@ -36,7 +36,46 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._table)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as keep it from clashing with a column of df."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Bits of the filter that a table of keys is thinned by, at least and at most; its words of 32 bits are broadcast.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
+
+
+def thinned(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose key may be among ``keys`` (one column of that name): all that are and a few others.
+
+    A bit table of fixed size (16 bits a key, MOST_BITS at most: 524,288 rows to broadcast) spares a later join the shuffle of
+    most other rows. With very many keys it fills up, lets all rows pass and the join alone decides: no row is ever lost.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+    place = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(bits))
+    word, bit = spare_name(df, "_word"), spare_name(df, "_bit")
+    table = keys.select(F.shiftright(place, 5).cast("int").alias(word), F.call_function("shiftleft", F.lit(1), (place % 32).cast("int")).alias("_b")).groupBy(word)
+    table = table.agg(F.bit_or("_b").alias("_b"))
+    marked = df.withColumns({word: F.shiftright(place, 5).cast("int"), bit: F.call_function("shiftleft", F.lit(1), (place % 32).cast("int"))})
+    held = spare_name(marked, "_held")
+    marked = marked.join(F.broadcast(table.withColumnRenamed("_b", held)), word)
+    return marked.where(F.col(bit).bitwiseAND(F.col(held)) != 0).drop(word, bit, held)
 
 
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -89,6 +128,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large")
+        discard(star)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -97,6 +137,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         star, seen = observed(small, "star", n=F.count("*"), h=F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+        discard(large)
         if seen == before:
             break
         before = seen

@@ -6,10 +6,11 @@ their ``coords - matches + 1`` rarest pairs, so only those (the prefix) are post
 that thousands of sets share are skipped wherever a set has rarer ones. Rareness comes from a
 count sketch of fixed size; any order that all sets agree on keeps the result whole.
 
-No posting list is expanded into all its pairs. Round one compares each member with the list's
-smallest set, its hub; verified links make components. Round two compares only members of one hub that
-still lie in different components, in blocks of bounded size. A candidate with enough equal
-coordinates is confirmed on the full shingle sets, and components of confirmed links are the result.
+No posting list is expanded into all its pairs. Round one meets each member with the list's smallest set, its hub;
+confirmed links make components. Round two meets only members of one hub that still lie in different components, in
+blocks of bounded size. The collisions of a pair that meets in a posting are counted over all WIDE coordinates, by a merge of
+both sets' lists of coordinate-value pairs (a byte of each value: a count never falls short); pairs above the match
+threshold are confirmed on the full shingle sets, and components of confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import blocks, components, partitions, runs, written
+from tablewright.llm.common import blocks, components, discard, partitions, runs, thinned, written
 from tablewright.llm.text import mix, shingle_rows, word_hashes
 
 COORDS = 64
@@ -42,11 +43,11 @@ _MULTIPLY = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np
 _ADD = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 
 
-def signatures(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def signatures(found: np.ndarray, bounds: np.ndarray, coords: int = WIDE) -> np.ndarray:
     """The minimum of each hash function over every non-empty set, as rows of 32-bit values."""
     starts = bounds[:-1][np.diff(bounds) > 0]
-    best = np.empty((len(starts), WIDE), dtype=np.uint64)
-    for i in range(WIDE):
+    best = np.empty((len(starts), coords), dtype=np.uint64)
+    for i in range(coords):
         best[:, i] = np.minimum.reduceat(found * _MULTIPLY[i] + _ADD[i], starts) if len(starts) else 0
     return (mix(best) >> np.uint64(32)).astype(np.uint32)
 
@@ -165,17 +166,25 @@ def enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """(id, found): the sorted shingle hashes of texts (id, text)."""
+def set_table(texts: DataFrame, n: int) -> DataFrame:
+    """(id, n, brief, found): the key, the size, the low bytes of the signature and the sorted shingle hashes of every text that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes, rows = word_hashes(block.column("text"))
             every, bounds = shingle_rows(hashes, rows, n)
-            found = [every[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(found, pa.binary())], ["id", "found"])
+            size = np.diff(bounds)
+            full = np.flatnonzero(size > 0)
+            low = signatures(every, bounds).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(set_keys(every, bounds)[0]), pa.array(size[full]), pa.array([x.tobytes() for x in low], pa.binary()),
+                    pa.array([every[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary()),
+                ],
+                ["id", "n", "brief", "found"],
+            )
 
-    return texts.select("id", "text").mapInArrow(run, "id long, found binary")
+    return texts.select("text").mapInArrow(run, "id long, n long, brief binary, found binary")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -187,10 +196,10 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on the full shingle sets of the whole texts.
 
-    fetch gives one row (id, text) for each of a table of ids.
+    sets gives one row (id, found) for each of a table of ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +209,16 @@ def confirmed(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int,
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    found = written(_sets(fetch(ids), n), "sets")
-    return (
+    found = sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    links = written(
         pairs.join(found.select(F.col("id").alias("a"), F.col("found").alias("xa")), "a")
         .join(found.select(F.col("id").alias("b"), F.col("found").alias("xb")), "b")
         .select("a", "b", "xa", "xb")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(run, "a long, b long"),
+        "links",
     )
+    discard(pairs)
+    return links
 
 
 def _candidates(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +236,7 @@ def _candidates(group: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.nda
     return x[p[hit]], y[q[hit]]
 
 
-def crossing(listed: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+def crossing(listed: DataFrame, classes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Confirmed links (a, b) among members of one hub that lie in different components.
 
     listed: token (the hub), id, component. Hubs within one component are dropped; the others' members are
@@ -238,7 +249,7 @@ def crossing(listed: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
         for group in runs(batches, ["token", "i", "j"]):
             x, y = _candidates(group, percent)
             if len(x):
-                yield group.take(pa.array(np.unique(np.concatenate([x, y]))))
+                yield group.take(pa.array(np.unique(np.concatenate([x, y]))))  # those that have a candidate
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["token", "i", "j"]):
@@ -260,21 +271,33 @@ def crossing(listed: DataFrame, classes: DataFrame, fetch: Callable[[DataFrame],
     order, count = ["token", "i", "j"], partitions(listed.sparkSession)
     schema = "token long, i int, j int, own int, id long, n long, component long, brief binary"
     asked = written(dealt.repartition(count, *order).sortWithinPartitions(*order).mapInArrow(some, schema), "asked")
-    sets = written(_sets(fetch(asked.select("id").distinct()), n), "sets")
-    full = asked.join(sets, "id").select(*asked.columns, "found")
-    return full.repartition(count, *order).sortWithinPartitions(*order).mapInArrow(confirm, "a long, b long").distinct()
+    full = asked.join(sets(asked.select("id").distinct()), "id").select(*asked.columns, "found")
+    links = full.repartition(count, *order).sortWithinPartitions(*order).mapInArrow(confirm, "a long, b long").distinct()
+    links = written(links, "links")
+    discard(asked)
+    return links
+
+
+def shared(posted: DataFrame) -> DataFrame:
+    """(token, id) of the lists with two members or more; the others are taken out before anything is joined."""
+    lists = written(posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "lists")
+    out = written(thinned(posted, "token", lists).join(lists, "token", "left_semi").select("token", "id"), "posted")
+    discard(lists)
+    return out
 
 
-def clusters(classes: DataFrame, posted: DataFrame, fetch: Callable[[DataFrame], DataFrame], n: int, percent: int) -> DataFrame:
+def clusters(classes: DataFrame, posted: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of the classes (id, n, brief) that confirmed links join; posted (token, id) says which may meet."""
-    lists = posted.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
+    lists = posted.groupBy("token").agg(F.min("id").alias("a"))
     hubs = written(posted.join(lists, "token").where("id > a").select("a", F.col("id").alias("b")).distinct(), "hubs")
-    links = written(confirmed(enough(hubs, classes, percent), fetch, n, percent), "links")
+    links = confirmed(enough(hubs, classes, percent), sets, percent)
     parts = written(components(links), "parts")
     # lists with one hub hold much the same members: together they are one list, without the repeats
     members = hubs.select(F.col("a").alias("token"), F.col("b").alias("id")).union(hubs.select("a", "a").distinct())
     listed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-    more = written(crossing(written(listed, "listed"), classes, fetch, n, percent), "links")
+    listed = written(listed, "listed")
+    more = crossing(listed, classes, sets, percent)
+    discard(hubs, links, listed)
     if more.isEmpty():
         return parts
     return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -283,22 +306,28 @@ def clusters(classes: DataFrame, posted: DataFrame, fetch: Callable[[DataFrame],
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate components of documents (doc_id, text; other columns are ignored).
 
-    Returns one row per document: doc_id, n_shingles, class_id (smallest document with the same
-    shingle set), component_id (smallest document reachable by links), kept. Null, empty and
-    blank texts, and those with a null doc_id, link with nothing; rows that repeat a doc_id should have the same text.
+    Returns one row per document: doc_id, n_shingles, class_id (smallest document with the same shingle set), component_id
+    (smallest document reachable by links), kept. Null, empty and blank texts link with nothing. Rows with a null doc_id link with
+    nothing, have no component and are not kept. Rows that repeat a doc_id are judged one by one, each by its own text.
+    Texts are taken whole, however long; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
     found = written(shingle_sets(docs, n), "shingled")
     full = found.where("n_shingles > 0 and doc_id is not null")
-    firsts = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id"))
-    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
-    classes = written(classes.select("id", "n", "sig", "brief"), "classes")
-    fetch = lambda ids: docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    parts = clusters(classes, written(postings(classes), "postings"), fetch, n, percent)
-    return (
-        found.join(firsts, ["f1", "f2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-        .join(parts.select(F.col("node").alias("class_id"), F.col("component").alias("component_id")), "class_id", "left")
-        .select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
+    classes = written(classes.select(F.col("f1").alias("id"), "first", "n", "sig", "brief"), "classes")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        wanted = written(classes.join(ids, "id", "left_semi").select("id", F.col("first").alias("doc_id")), "wanted")
+        texts = thinned(docs, "doc_id", wanted.select("doc_id")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        # by the set's key: a repeated doc_id may have other texts too
+        return written(set_table(texts, n).join(wanted, "id", "left_semi").select("id", "found").dropDuplicates(["id"]), "sets")
+
+    parts = clusters(classes, shared(postings(classes)), sets, percent)
+    parts = written(parts, "parts")
+    own = classes.select("id", "first").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = own.groupBy("component").agg(F.min("first").alias("component_id"))
+    judged = own.join(least, "component").select(F.col("id").alias("f1"), F.col("first").alias("class_id"), "component_id")
+    words = found.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("f1")).alias("f1"))
+    out = words.join(judged, "f1", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -1,14 +1,15 @@
 """Paragraph dedup by MinHash banding.
 
-A paragraph is a line of at least ``least_words`` words. Equal shingle sets are one class. A class is
-posted under BANDS band keys of ROWS signature coordinates each, few and short for high recall: a pair
-at similarity 0.8 shares a key with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992. Colliding classes are
-verified by exact Jaccard similarity of their word shingles, links make components, and all
-paragraphs of a component but the first (by document and number) are removed.
+A paragraph is a line of at least ``least_words`` words. Equal shingle sets are one class. A class is posted under band keys of
+ROWS signature coordinates each; their number is tuned for high recall (bands_for): a pair at similarity 0.8 shares one of ten with
+probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992. Only the band keys are kept of all paragraphs; whole shingle sets and wider
+signatures are made of those that collide. Colliding classes are verified by exact Jaccard similarity of their word shingles,
+links make components, and all paragraphs of a component but the first (by document and number) are removed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import written
-from tablewright.llm.minhash import _signatures, clusters, shingle_sets
-from tablewright.llm.text import mix
+from tablewright.llm.common import blocks, discard, spare_name, thinned, written
+from tablewright.llm.minhash import clusters, set_keys, set_table, shared, signatures
+from tablewright.llm.text import mix, shingle_rows, word_hashes
 
-BANDS, ROWS = 10, 3
+#: Coordinates of a band: few, so that bands collide often.
+ROWS = 3
+#: Share of the pairs at the threshold that bands must bring together.
+RECALL = 0.999
 SHINGLE = 5
 PERCENT = 80
-LEAST_WORDS = 20
+LEAST_WORDS = 1
+
+
+def bands_for(percent: int, rows: int = ROWS, recall: float = RECALL) -> int:
+    """The fewest bands that pairs at the threshold share one of with probability ``recall``: 10 at 80 percent."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - (percent / 100) ** rows)) - 1e-9))
 
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
@@ -37,51 +46,73 @@ def place():
     return wide.cast("decimal(38,0)")
 
 
-def banded(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(token, id) for each band of a signature."""
+def banded(docs: DataFrame, n: int, bands: int, rows: int = ROWS) -> DataFrame:
+    """doc_id, para_no, n_words, f1, f2 (the shingle set's key) and band keys k0, k1, ... of every paragraph with a word."""
+    names = [f"k{i}" for i in range(bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sigs = _signatures(batch)[:, : bands * rows].astype(np.uint64).reshape(-1, bands, rows)
+        for block in blocks(batches, "text"):
+            hashes, at = word_hashes(block.column("text"))
+            found, bounds = shingle_rows(hashes, at, n)
+            full = np.diff(bounds) > 0
+            sigs = signatures(found, bounds, bands * rows).astype(np.uint64).reshape(-1, bands, rows)
             key = np.broadcast_to(np.arange(bands, dtype=np.uint64), sigs.shape[:2])
             for r in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sigs[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), bands))], ["token", "id"])
+            own = block.filter(pa.array(full))
+            keys = [pa.array(np.ascontiguousarray(key[:, i]).view(np.int64)) for i in range(bands)]
+            one, two = set_keys(found, bounds)
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("para_no"), pa.array(np.diff(at)[full]), pa.array(one), pa.array(two), *keys], ["doc_id", "para_no", "n_words", "f1", "f2", *names])
 
-    return classes.select("id", "sig").mapInArrow(run, "token long, id long")
+    own = split_paragraphs(docs)
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"doc_id {kind}, para_no int, n_words long, f1 long, f2 long, {', '.join(f'{k} long' for k in names)}")
 
 
 def removed_paragraphs(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, para_no, first_doc_id, first_para_no: the removed paragraphs and the one kept in their stead.
 
-    docs: doc_id, text; other columns are ignored. Rows that repeat a doc_id stand for one document.
+    docs: doc_id, text; other columns are ignored. A paragraph with fewer than n words is one shingle, so it is like equal
+    ones only. Null texts, null doc_ids and blank lines have no paragraph. Paragraphs are taken whole, however long. Rows that repeat a
+    doc_id stand for one document: paragraphs with equal number and words stand or fall together.
     """
-    own = split_paragraphs(docs)
-    found = shingle_sets(own.where(f"length(text) >= {2 * least_words - 1}"), n, ("doc_id", "para_no")).where(f"n_words >= {least_words}")
-    found = written(found.withColumn("place", place()).select("doc_id", "para_no", "place", "n_shingles", "f1", "f2", "sig", "brief"), "shingled")
-    classes = found.groupBy("f1", "f2").agg(
-        F.min("place").alias("place"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief")
-    )
-    classes = written(classes.select(F.col("f1").alias("id"), "place", "size", "n", "sig", "brief"), "classes")
-    posted = banded(classes)
-    shared = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    posted = written(posted.join(shared, "token", "left_semi"), "posted")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        firsts = classes.join(ids, "id", "left_semi").select("id", "place")
-        return own.withColumn("place", place()).join(firsts, "place").select("id", "text").dropDuplicates(["id"])
-
-    parts = written(clusters(classes, posted, fetch, n, percent), "parts")
+    docs = docs.select("doc_id", "text")
+    bands = bands_for(percent)
+    names = [f"k{i}" for i in range(bands)]
+    found = banded(docs, n, bands).where(F.col("n_words") >= least_words).withColumn("place", place())
+    classes = found.groupBy("f1", "f2").agg(F.min("place").alias("place"), F.count("*").alias("size"), *[F.min(k).alias(k) for k in names])
+    classes = written(classes.withColumnRenamed("f1", "id").drop("f2"), "classes")
+    posted = shared(classes.select("id", F.explode(F.array(*names)).alias("token")))
+    # sets and signatures of those only that share a band with another
+    wanted = written(classes.join(posted.select("id").distinct(), "id", "left_semi").select("id", "place"), "wanted")
+    own = split_paragraphs(docs).withColumn("place", place())
+    texts = thinned(own, "place", wanted.select("place")).join(wanted.select("place").distinct(), "place", "left_semi")
+    table = written(set_table(texts, n).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    parts = written(clusters(table, posted, lambda ids: table.join(ids, "id", "left_semi").select("id", "found"), percent), "parts")
+    discard(posted, wanted, table)
     joined = classes.select("id", "place", "size").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = joined.groupBy("component").agg(F.min("place").alias("first"), F.sum("size").alias("all")).where("all > 1")
-    judged = joined.join(first, "component").select(F.col("id").alias("f1"), "first")
-    gone = found.select("doc_id", "para_no", "place", "f1").join(judged, "f1").where("place != first")
+    judged = written(joined.join(first, "component").select(F.col("id").alias("f1"), "first"), "judged")
+    discard(classes, parts)
+    gone = keyed(docs, n).join(judged, "f1").withColumn("place", place()).where("place != first")
     base = F.lit(1 << 31).cast("decimal(11,0)")
     return gone.select("doc_id", "para_no", F.floor(F.col("first") / base).cast("long").alias("first_doc_id"), F.pmod("first", base).cast("int").alias("first_para_no")).distinct()
 
 
+def keyed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, para_no, f1 of every paragraph with a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            hashes, at = word_hashes(block.column("text"))
+            found, bounds = shingle_rows(hashes, at, n)
+            own = block.filter(pa.array(np.diff(bounds) > 0))
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("para_no"), pa.array(set_keys(found, bounds)[0])], ["doc_id", "para_no", "f1"])
+
+    own = split_paragraphs(docs)
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, para_no int, f1 long")
+
+
 def report(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_paragraphs, n_removed, removed_paragraphs (numbers in order), first_doc_ids (where their first copies are)."""
     gone = removed_paragraphs(docs, n, percent, least_words).groupBy("doc_id").agg(
@@ -94,8 +125,11 @@ def report(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, least_word
 
 
 def dedup(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with the removed paragraphs taken out of text."""
-    gone = written(removed_paragraphs(docs, n, percent, least_words), "gone").groupBy("doc_id").agg(F.collect_set("para_no").alias("_gone"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    out = docs.join(gone, "doc_id", "left")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_gone")
+    """docs with the removed paragraphs taken out of text; null texts stay null, other columns stay as they are."""
+    gone = spare_name(docs, "_gone")
+    numbers = removed_paragraphs(docs, n, percent, least_words).groupBy("doc_id").agg(F.collect_set("para_no").alias(gone))
+    split = F.split("text", "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone)), lambda i: F.get(split, i))
+    out = docs.join(written(numbers, "gone"), "doc_id", "left")
+    whole = F.col("text").isNull() | F.col(gone).isNull()
+    return out.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n"))).drop(gone)

@@ -6,9 +6,9 @@ from collections import Counter
 
 import numpy as np
 
-from tablewright.llm import langid, resampling
+from tablewright.llm import langid, minhash, paragraphs, resampling
 
-from .test_small import WORD, LOW
+from .test_small import LOW, WORD, Groups, corpus, shingle_set
 
 
 def test_language_of_no_letters_and_long_texts(frame):
@@ -80,3 +80,32 @@ def test_resampling_bounded_labels(spark):
     assert resampling.good_ids(labels).count() == 5000
     some = resampling.good_ids(labels, 1000).count()
     assert 800 < some < 1200 and some == resampling.good_ids(labels, 1000).count()
+
+
+def test_near_duplicates_of_repeated_ids(frame):
+    """Rows that repeat a doc_id with other texts are judged one by one, the same way each time."""
+    same, other = "a b c d e f g h", "q r s t u v w x"
+    docs = [(1, same), (1, other), (2, same), (3, other), (3, other), (4, "l " * 30_000), (5, None), (None, same)]
+    for _ in range(2):
+        rows = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(docs), 2).collect()), key=str)
+        assert rows == sorted([(1, 7, 1, True), (1, 7, 1, True), (2, 7, 1, False), (3, 7, 1, False), (3, 7, 1, False), (4, 1, 4, True), (5, 0, 5, True), (None, 7, None, False)], key=str)
+
+
+def test_paragraphs_of_any_length(frame):
+    docs = corpus(11, n=40) + [(900, "w " * 40_000 + "\nend of it"), (901, "End of it\n\n"), (902, "end of\nit")]
+    own = [(d, i, shingle_set(x, 5)) for d, t in docs for i, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+    g = Groups(range(len(own)))
+    for a in range(len(own)):
+        for b in range(a + 1, len(own)):
+            x, y = own[a][2], own[b][2]
+            if 100 * len(x & y) >= 80 * len(x | y):
+                g.join(a, b)
+    gone = sorted((own[k][0], own[k][1], own[g.root(k)][0]) for k in range(len(own)) if g.root(k) != k)
+    df = frame(docs).selectExpr("*", "'x' as _gone", "'y' as place")
+    assert sorted((r.doc_id, r.para_no, r.first_doc_id) for r in paragraphs.removed_paragraphs(df).collect()) == gone
+    out = paragraphs.dedup(df)
+    assert out.columns == df.columns
+    texts = {r.doc_id: r.text for r in out.collect()}
+    drop = {(d, i) for d, i, _ in gone}
+    assert texts == {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in drop) for d, t in docs}
+    assert [paragraphs.bands_for(p) for p in (80, 90)] == [10, 6]

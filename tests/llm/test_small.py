@@ -119,7 +119,7 @@ def test_paragraphs(frame):
         if 100 * len(x & y) >= 80 * len(x | y):
             g.join(a, b)
     gone = sorted((own[k][0], own[k][1], own[g.root(k)][0]) for k in range(len(own)) if g.root(k) != k)
-    got = paragraphs.removed_paragraphs(frame(docs)).collect()
+    got = paragraphs.removed_paragraphs(frame(docs), least_words=20).collect()
     assert sorted((r.doc_id, r.para_no, r.first_doc_id) for r in got) == gone
     assert paragraphs.report(frame([])).count() == 0
     assert paragraphs.dedup(frame(docs)).count() == len(docs)

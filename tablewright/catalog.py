@@ -1,13 +1,16 @@
 """A thin versioned catalog over Parquet directories.
 
 State is one JSON document that is swapped by an atomic rename; every version of a table is a directory of
-its own, so readers keep what they began with and an old version is a backup. Writers take table locks. A transaction works on
-a copy of the state and swaps it in at its end; directories that a failed one wrote are never referenced.
+its own, so readers keep what they began with and an old version is a backup. Writers take table locks and read a table's state
+once they hold its lock. A transaction works on a copy of the state and merges the tables that it touched into the stored state at
+its end, under a file lock that all processes share; if another process changed one of them meanwhile, it fails and changes
+nothing. Directories that a failed one wrote are never referenced.
 """
 
 from __future__ import annotations
 
 import contextlib
+import fcntl
 import json
 import os
 import re
@@ -25,7 +28,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.errors import ImproperlyConfigured, IntegrityError, NotPopulatedError, PartitioningError, SuspiciousOperation, TransactionError
+from tablewright.errors import ImproperlyConfigured, IntegrityError, NotPopulatedError, PartitioningError, StaleStateError, SuspiciousOperation, TransactionError
 from tablewright.functions import coerce_map
 from tablewright.locking import LockManager, LockMode
 from tablewright.operators.relation import peek
@@ -37,6 +40,10 @@ DEFAULT_SCHEMA = "default"
 _EMPTY = {"schemas": {DEFAULT_SCHEMA: {"tables": {}, "views": {}}}}
 #: Collected rows of a returning frame are for batches; larger results are read as a frame.
 ROUTE = "_part"
+#: Size of a file that a full vacuum writes, about.
+FILE_BYTES = 128 << 20
+#: Times that a single write runs again when another process was faster.
+TRIES = 20
 
 
 def _jsonable(table: Declared) -> dict:
@@ -57,6 +64,12 @@ def _declared(state: dict) -> Declared:
     return Declared(**state)
 
 
+def _renamed(sql: str, old: str, new: str) -> str:
+    """An expression with a column under another name; texts in quotes stay."""
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    return "".join(p if i % 2 else re.sub(rf"(?<![\w.]){re.escape(old)}(?!\w)", new, p) for i, p in enumerate(parts))
+
+
 class Catalog:
     """Tables, views and schemas under one root folder."""
 
@@ -68,8 +81,9 @@ class Catalog:
         self._local = threading.local()
         self._declared: dict[str, Declared] = {}
         self.search_path: list[str] = [DEFAULT_SCHEMA]
-        if not os.path.exists(self.path):
-            self._swap(deepcopy(_EMPTY))
+        with self._alone():
+            if not os.path.exists(self.path):
+                self._swap(deepcopy(_EMPTY))
 
     # state and transactions
 
@@ -83,6 +97,13 @@ class Catalog:
             json.dump(state, f)
         os.replace(new, self.path)
 
+    @contextlib.contextmanager
+    def _alone(self) -> Iterator[None]:
+        """No other thread or process changes the stored state meanwhile."""
+        with open(f"{self.path}.lock", "w") as f:
+            fcntl.flock(f, fcntl.LOCK_EX)
+            yield
+
     @property
     def state(self) -> dict:
         own = getattr(self._local, "state", None)
@@ -98,28 +119,40 @@ class Catalog:
         if self.in_transaction:
             yield self
             return
-        self._local.state, self._local.owner, self._local.touched = self._load(), uuid.uuid4().hex, set()
+        self._local.state, self._local.owner, self._local.touched = self._load(), uuid.uuid4().hex, {}
         try:
             yield self
-            merged = self._load()
-            for schema, table in self._local.touched:  # other tables may have moved on meanwhile
-                for kind in ("tables", "views"):
-                    new = self._local.state["schemas"].get(schema, {}).get(kind, {}).get(table)
-                    if schema in merged["schemas"]:
-                        merged["schemas"][schema][kind].pop(table, None)
-                    if new is not None:
-                        merged["schemas"].setdefault(schema, {"tables": {}, "views": {}})[kind][table] = new
-            for schema in set(merged["schemas"]) - set(self._local.state["schemas"]):
-                if schema in getattr(self._local, "dropped", set()):
-                    del merged["schemas"][schema]
-            for schema in self._local.state["schemas"]:
-                merged["schemas"].setdefault(schema, {"tables": {}, "views": {}})
-            self._swap(merged)
+            with self._alone():
+                self._swap(self._merged(self._load()))
         finally:
             self.locks.release(self._local.owner)
             self._local.state = None
             self._local.dropped = set()
 
+    def _merged(self, stored: dict) -> dict:
+        """The stored state with what this transaction touched; other tables may have moved on meanwhile."""
+        own, schemas = self._local.state["schemas"], stored["schemas"]
+        for (schema, table), before in self._local.touched.items():
+            if self._kept(stored, schema, table) != before:
+                raise StaleStateError(f"{schema}.{table} was changed by another writer")
+            for kind in ("tables", "views"):
+                new = own.get(schema, {}).get(kind, {}).get(table)
+                if schema in schemas:
+                    schemas[schema][kind].pop(table, None)
+                if new is not None:
+                    schemas.setdefault(schema, {"tables": {}, "views": {}})[kind][table] = new
+        for schema in set(schemas) - set(own):
+            if schema in getattr(self._local, "dropped", set()):
+                del schemas[schema]
+        for schema in own:
+            schemas.setdefault(schema, {"tables": {}, "views": {}})
+        return stored
+
+    @staticmethod
+    def _kept(state: dict, schema: str, table: str) -> str:
+        """The entries of that name in a state, as text to compare."""
+        return json.dumps([state["schemas"].get(schema, {}).get(kind, {}).get(table) for kind in ("tables", "views")], sort_keys=True)
+
     @contextlib.contextmanager
     def no_transaction(self, why: str) -> Iterator[None]:
         """Guard for work that must not be part of a transaction."""
@@ -145,12 +178,24 @@ class Catalog:
         return found
 
     def _touch(self, name: str) -> tuple[str, str]:
-        schema, table = self.split(name)
-        self._local.touched.add((schema, table))
-        return schema, table
+        """Lock a table or view that is about to change."""
+        self._lock(name)
+        return self.split(name)
 
     def _lock(self, name: str, mode: LockMode = LockMode.ACCESS_EXCLUSIVE) -> None:
-        self.locks.acquire(".".join(self.split(name)), mode, self._local.owner)
+        """Take a lock, and read the stored entry anew at the first one: a writer that held it before may have changed it."""
+        schema, table = self.split(name)
+        self.locks.acquire(f"{schema}.{table}", mode, self._local.owner)
+        if (schema, table) in self._local.touched or mode != LockMode.ACCESS_EXCLUSIVE:
+            return
+        stored, own = self._load(), self._local.state["schemas"]
+        self._local.touched[schema, table] = self._kept(stored, schema, table)
+        for kind in ("tables", "views"):
+            found = stored["schemas"].get(schema, {}).get(kind, {}).get(table)
+            if found is not None:
+                own.setdefault(schema, {"tables": {}, "views": {}})[kind][table] = found
+            elif schema in own:
+                own[schema][kind].pop(table, None)
 
     # schemas
 
@@ -224,6 +269,7 @@ class Catalog:
         with self.transaction():
             if schema not in self.state["schemas"]:
                 raise SuspiciousOperation(f"no schema {schema}")
+            self._touch(f"{schema}.{table.name}")
             if table.name in self.state["schemas"][schema]["tables"]:
                 raise SuspiciousOperation(f"table {table.name} exists")
             self._declared[f"{schema}.{table.name}"] = table
@@ -231,7 +277,6 @@ class Catalog:
                 "declared": _jsonable(table), "path": None, "versions": [], "sequence": 1, "ordinal": time.time_ns(), "comment": table.comment, "properties": dict(table.properties),
                 "partitioning": {"method": str(partitioning.method), "key": list(partitioning.key)} if partitioning else None, "partitions": [],
             }
-            self._local.touched.add((schema, table.name))
             if rows is not None:
                 self.write(f"{schema}.{table.name}", rows)
         return Table(self, f"{schema}.{table.name}")
@@ -253,37 +298,50 @@ class Catalog:
     def alter(self, name: str, **changes: Any) -> Declared:
         """A new declaration: rows that are there must keep it; columns are added as null or default, dropped or renamed by position."""
         with self.transaction():
+            schema, table = self._touch(name)
             old, entry = self.declared(name), self._entry(name)
             new = replace(old, **changes)
             rows = self.read(name)
             have = {f.stored for f in old.fields}
             out = rows.select(*[(F.col(f"`{f.stored}`") if f.stored in have else F.lit(f.default)).cast(f.type).alias(f.stored) for f in new.fields])
-            schema, table = self._touch(name)
             self._declared[f"{schema}.{table}"] = new
             entry["declared"] = _jsonable(new)
             self.write(f"{schema}.{table}", out)
             if new.name != table:
+                self._touch(f"{schema}.{new.name}")
                 self.state["schemas"][schema]["tables"][new.name] = self.state["schemas"][schema]["tables"].pop(table)
                 self._declared[f"{schema}.{new.name}"] = new
-                self._local.touched.add((schema, new.name))
         return new
 
     def rename_field(self, name: str, old: str, new: str) -> Declared:
+        """A column under another name, in keys, rules, indexes, the partitioning and references from other tables too."""
         with self.transaction():
-            table = self.declared(name)
+            schema, bare = self._touch(name)
+            table, entry = self.declared(name), self._entry(name)
             rows = self.read(name).withColumnRenamed(old, new)
             swap = lambda p: new if p == old else (new, p[1]) if isinstance(p, tuple) and p[0] == old else p
+            text = lambda c: _renamed(c, old, new) if isinstance(c, str) else c
             changed = replace(
                 table,
                 fields=tuple(replace(f, name=new, column=None) if f.stored == old else f for f in table.fields),
                 primary_key=tuple(swap(p) for p in table.primary_key),
-                keys=tuple(replace(k, parts=tuple(swap(p) for p in k.parts)) for k in table.keys),
+                keys=tuple(replace(k, parts=tuple(swap(p) for p in k.parts), condition=text(k.condition)) for k in table.keys),
                 required=tuple(replace(r, column=swap(r.column)) for r in table.required),
+                checks=tuple(replace(c, condition=text(c.condition)) for c in table.checks),
+                indexes=tuple(replace(x, fields=tuple(swap(f) for f in x.fields)) for x in table.indexes),
             )
-            schema, bare = self._touch(name)
             self._declared[f"{schema}.{bare}"] = changed
-            self._entry(name)["declared"] = _jsonable(changed)
+            entry["declared"] = _jsonable(changed)
+            if entry["partitioning"]:
+                entry["partitioning"]["key"] = [swap(k) for k in entry["partitioning"]["key"]]
             self.write(name, rows)
+            for other in self.tables(schema):
+                refers = self.declared(f"{schema}.{other}")
+                if other != bare and any(f.references and f.references[0].split(".")[-1] == bare and f.references[1] == old for f in refers.fields):
+                    self._touch(f"{schema}.{other}")
+                    moved = tuple(replace(f, references=(f.references[0], new)) if f.references and f.references[0].split(".")[-1] == bare and f.references[1] == old else f for f in refers.fields)
+                    self._declared[f"{schema}.{other}"] = replace(refers, fields=moved)
+                    self._entry(f"{schema}.{other}")["declared"] = _jsonable(self._declared[f"{schema}.{other}"])
         return changed
 
     def drop_table(self, name: str) -> None:
@@ -299,8 +357,8 @@ class Catalog:
             old, table = self._touch(name)
             if schema not in self.state["schemas"]:
                 raise SuspiciousOperation(f"no schema {schema}")
+            self._touch(f"{schema}.{table}")
             self.state["schemas"][schema]["tables"][table] = self.state["schemas"][old]["tables"].pop(table)
-            self._local.touched.add((schema, table))
         return Table(self, f"{schema}.{table}")
 
     def read(self, name: str, parts: Sequence[str] | None = None) -> DataFrame:
@@ -375,7 +433,8 @@ class Catalog:
             entry = self._entry(name)
             if not entry["partitioning"]:
                 raise PartitioningError(f"{name} is not partitioned")
-            partition = replace(partition, name=partition.name.lower())
+            plain = lambda v: tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v.isoformat(" ") if hasattr(v, "isoformat") else v
+            partition = replace(partition, name=partition.name.lower(), lower=plain(partition.lower), upper=plain(partition.upper), members=plain(partition.members))
             if partition.kind != "default" and partition.kind != entry["partitioning"]["method"]:
                 raise PartitioningError(f"{name} is partitioned by {entry['partitioning']['method']}")
             if partition.kind == "default" and entry["partitioning"]["method"] == "hash":
@@ -383,6 +442,11 @@ class Catalog:
             for other in self.partitions(name):
                 if other.name == partition.name or partition.overlaps(other):
                     raise PartitioningError(f"{partition.name} clashes with {other.name}")
+            default = next((p for p in self.partitions(name) if p.kind == "default"), None)
+            if default is not None and entry["path"] is not None:  # its rows would stay behind where no one looks for them
+                theirs = route(entry["partitioning"]["key"], [partition]) == partition.name
+                if not self.read(name, [default.name]).where(theirs).isEmpty():
+                    raise IntegrityError(f"rows of {default.name} belong to {partition.name}")
             entry["partitions"].append(asdict(partition))
 
     def add_range_partition(self, name: str, partition: str, from_values: Any, to_values: Any, comment: str = "") -> None:
@@ -424,12 +488,14 @@ class Catalog:
     def create_view(self, name: str, query: Any, schema: str | None = None, replace_existing: bool = False, materialized: bool = False, with_data: bool = True) -> None:
         """A view over SQL text, (SQL, parameters), or a callable that gives one of these or a frame."""
         schema, text = schema or self.search_path[0], view_query(query)
+        if callable(text) and not isinstance(text, DataFrame):  # what it gives now is kept for other processes
+            text = view_query(text())
         with self.transaction():
+            self._touch(f"{schema}.{name}")
             own = self.state["schemas"][schema]["views"]
             if name in own and not replace_existing:
                 raise SuspiciousOperation(f"view {name} exists")
             own[name] = {"query": text if isinstance(text, (str, list)) else None, "materialized": materialized, "path": None, "indexes": own.get(name, {}).get("indexes", [])}
-            self._local.touched.add((schema, name))
             self._live_views()[f"{schema}.{name}"] = query
             if materialized and with_data:
                 self._fill(schema, name)
@@ -464,6 +530,8 @@ class Catalog:
             query = query()
         if isinstance(query, DataFrame):
             return query
+        if query is None:
+            raise ImproperlyConfigured(f"{view} was made of a frame in another process; only views over SQL outlive theirs")
         sql, args = (query, None) if isinstance(query, str) else query
         self.register(schema)
         return self.spark.sql(sql, args=args if args is None or isinstance(args, dict) else list(args))
@@ -491,12 +559,12 @@ class Catalog:
     def refresh(self, name: str, concurrently: bool = False) -> None:
         """A new snapshot; readers of the old one keep it. Concurrently needs one to be there."""
         with self.transaction():
+            self._touch(name)
             schema, view, own = self._view(name)
             if not own["materialized"]:
                 raise SuspiciousOperation(f"{view} is not a materialized view")
             if concurrently and own["path"] is None:
                 raise NotPopulatedError(f"{view} cannot be refreshed concurrently before it is populated")
-            self._local.touched.add((schema, view))
             self._fill(schema, view)
 
     # administration
@@ -533,8 +601,11 @@ class Catalog:
         """Old versions and deleted partitions' files go; full rewrites the rows into few files, analyze counts them. The other options have no meaning here."""
         with self.no_transaction("vacuum removes files that a rollback would need"):
             if full:
-                files = max(1, (parallel or 1))
-                self.write(name, self.read(name).coalesce(files))
+                with self.transaction():
+                    self._lock(name)
+                    top = self._entry(name)["path"]
+                    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top or self.root) for f in names) if top else 0
+                    self.write(name, self.read(name).repartition(parallel or max(1, -(-size // FILE_BYTES))))
             with self.transaction():
                 self._touch(name)
                 entry = self._entry(name)
@@ -558,9 +629,9 @@ class Catalog:
         """The constraints and indexes of a table for its clone; foreign keys are taken over unchecked."""
         table = self.declared(name)
         with self.transaction():
+            self._touch(f"{schema}.{table.name}")
             own = replace(table, name=table.name)
             self._declared[f"{schema}.{table.name}"] = own
-            self._local.touched.add((schema, table.name))
             self.state["schemas"][schema]["tables"][table.name]["declared"] = _jsonable(own)
 
     def validate_foreign_keys(self, name: str) -> None:
@@ -661,6 +732,18 @@ class Table:
 
     def _store(self, incoming: DataFrame, spec: ConflictSpec | None, order: Column | None = None) -> DataFrame:
         """Insert a frame; returns the inserted and updated rows, read back from what was written."""
+        return self._again(lambda: self._stored(incoming, spec, order))
+
+    def _again(self, write):
+        """A write as a transaction of its own, anew when another process was faster; inside a transaction it belongs to that."""
+        for left in range(TRIES, 0, -1):
+            try:
+                return write()
+            except StaleStateError:
+                if left == 1 or self.catalog.in_transaction:
+                    raise
+
+    def _stored(self, incoming: DataFrame, spec: ConflictSpec | None, order: Column | None) -> DataFrame:
         with self.catalog.transaction():
             self.catalog._lock(self.name)
             table, entry = self.declared, self.catalog._entry(self.name)
@@ -704,16 +787,28 @@ class Table:
         from tablewright.functions import map_of
 
         condition = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
-        df, new = self.df, {}
-        for name, value in values.items():
-            f = self.declared.by_name(name)
-            value = map_of(value) if isinstance(value, Mapping) else value if isinstance(value, Column) else F.lit(value)
-            new[f.stored] = F.when(condition, value.cast(f.type)).otherwise(F.col(f"`{f.stored}`"))
-        self.catalog.write(self.name, df.withColumns(new))
+
+        def write() -> None:
+            with self.catalog.transaction():
+                self.catalog._lock(self.name)
+                new = {}
+                for name, value in values.items():
+                    f = self.declared.by_name(name)
+                    value = map_of(value) if isinstance(value, Mapping) else value if isinstance(value, Column) else F.lit(value)
+                    new[f.stored] = F.when(condition, value.cast(f.type)).otherwise(F.col(f"`{f.stored}`"))
+                self.catalog.write(self.name, self.df.withColumns(new))
+
+        self._again(write)
 
     def delete(self, where: Column | str | None = None) -> None:
         condition = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
-        self.catalog.write(self.name, self.df.where(~F.coalesce(condition, F.lit(False))))
+
+        def write() -> None:
+            with self.catalog.transaction():
+                self.catalog._lock(self.name)
+                self.catalog.write(self.name, self.df.where(~F.coalesce(condition, F.lit(False))))
+
+        self._again(write)
 
     def truncate(self, cascade: bool = False, restart_identity: bool = False) -> None:
         self.catalog.truncate(self.name, cascade, restart_identity)

@@ -37,6 +37,10 @@ class TransactionError(TablewrightError):
     """An operation that needs a transaction, or must not run in one."""
 
 
+class StaleStateError(TransactionError):
+    """Another writer changed a table since this transaction read it; nothing was written, and the transaction may run again."""
+
+
 def spark_error(error: BaseException) -> BaseException | None:
     """The Spark error in a chain of causes."""
     from pyspark.errors import PySparkException

@@ -65,7 +65,10 @@ class ConflictSpec:
             object.__setattr__(self, "target", tuple(self.target))
 
     def effective_action(self) -> ConflictAction:
-        nothing = self.update_condition is False or (self.update_values is not None and not self.update_values)
+        """NOTHING where the condition is a plain value that is false (False, 0, empty text), or where no value is to be updated."""
+        condition = self.update_condition
+        never = condition is not None and not isinstance(condition, Column) and not condition
+        nothing = never or (self.update_values is not None and not self.update_values)
         return ConflictAction.NOTHING if nothing else self.action
 
     def key(self, table: Declared | None = None) -> UniqueKey:

@@ -1,10 +1,12 @@
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright import cli, settings
-from tablewright.errors import ImproperlyConfigured, IntegrityError, NotPopulatedError, SuspiciousOperation, TransactionError, sqlstate
+from tablewright.catalog import Catalog
+from tablewright.errors import ImproperlyConfigured, IntegrityError, NotPopulatedError, StaleStateError, SuspiciousOperation, TransactionError, sqlstate
 from tablewright.locking import LockMode, conflicts
 from tablewright.plans.conflict import ConflictAction
 from tablewright.plans.keys import Check, Declared, Field, Index, Required, UniqueKey
@@ -198,3 +200,65 @@ def test_stream_upsert(spark, catalog, tmp_path):
     stream = spark.readStream.schema("id long, v int").parquet(source)
     stream_upsert(stream, t.on_conflict(["id"], ConflictAction.UPDATE), str(tmp_path / "cp"), "v", True).awaitTermination(120)
     assert sorted((r.id, r.v) for r in t.df.collect()) == [(1, 5), (2, 2)]
+
+
+def test_concurrent_upserts(spark, catalog):
+    """Threads, and catalogs of their own as other processes have them: no row is lost and no key given twice."""
+    t = catalog.create_table(Declared("c", (Field("id", "bigint"), Field("name", "string"), Field("n", "int")), ("id",), (UniqueKey(("name",)),)))
+    others = [t, t, t, Catalog(spark, catalog.root).table("c")]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda x: x[1].upsert(["name"], {"name": x[0], "n": 1}, update_values={"n": F.expr("n + 1")}), zip("abcdab", others + others)))
+    rows = t.df.collect()
+    assert sorted((r.name, r.n) for r in rows) == [("a", 2), ("b", 2), ("c", 1), ("d", 1)] and len({r.id for r in rows}) == 4
+
+
+def test_stale_transaction(spark, catalog):
+    t, other = catalog.create_table(T), Catalog(spark, catalog.root)
+    with pytest.raises(StaleStateError), catalog.transaction():
+        t.insert(name="a")
+        other.table("t").insert(name="b")
+    assert [r.name for r in t.df.collect()] == ["b"]
+
+
+@pytest.mark.parametrize("never", [False, 0, ""])
+def test_condition_that_is_false(catalog, never):
+    t = catalog.create_table(Declared("f", (Field("id", "bigint"), Field("name", "string"), Field("n", "int")), ("id",), (UniqueKey(("name",)),)))
+    t.insert(name="a", n=1)
+    t.upsert(["name"], {"name": "a", "n": 2}, update_condition=never)
+    assert [r.n for r in t.df.collect()] == [1]
+
+
+def test_default_partition_keeps_no_rows_of_a_new_one(catalog):
+    d = Declared("p", (Field("id", "bigint"), Field("at", "int")), ("id",))
+    t = catalog.create_table(d, partitioning=Partitioning("range", ("at",)))
+    catalog.add_default_partition("p", "rest")
+    t.bulk_insert([{"id": 1, "at": 5}, {"id": 2, "at": 50}])
+    with pytest.raises(IntegrityError):
+        catalog.add_range_partition("p", "low", 0, 10)
+    catalog.add_range_partition("p", "mid", 10, 20)
+    assert [p.name for p in catalog.partitions("p")] == ["rest", "mid"]
+    catalog.rename_field("p", "at", "moment")
+    t.bulk_insert([{"id": 3, "moment": 12}])
+    assert [r.id for r in catalog.read("p", ["mid"]).collect()] == [3]
+
+
+def test_rename_is_carried_through(catalog):
+    parent = Declared("a", (Field("id", "bigint"), Field("n", "int")), ("id",), (UniqueKey(("n",), condition="n > 0 AND 'n' <> ''"),), checks=(Check("n < 9"),), indexes=(Index(("n",)),))
+    catalog.create_table(parent).insert(n=1)
+    catalog.create_table(Declared("b", (Field("id", "bigint"), Field("a", "int", references=("a", "n"))), ("id",)))
+    new = catalog.rename_field("a", "n", "m")
+    assert new.checks[0].condition == "m < 9" and new.keys[0].condition == "m > 0 AND 'n' <> ''" and new.indexes[0].fields == ("m",)
+    assert catalog.declared("b").by_name("a").references == ("a", "m")
+    with pytest.raises(IntegrityError):
+        catalog.table("a").insert(m=9)
+
+
+def test_view_of_a_callable_outlives_its_process(spark, catalog):
+    catalog.create_table(T).insert(name="x")
+    catalog.create_view("v", lambda: "SELECT name FROM t", materialized=True, with_data=False)
+    catalog.create_view("w", lambda: catalog.read("t"), materialized=True, with_data=False)
+    other = Catalog(spark, catalog.root)
+    other.refresh("v")
+    assert [r.name for r in other.read_view("v").collect()] == ["x"]
+    with pytest.raises(ImproperlyConfigured):
+        other.refresh("w")

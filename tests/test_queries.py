@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tablewright import stateful  # noqa: F401  registers its queries
 from tablewright.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -242,7 +242,7 @@ def crossing(listed: DataFrame, classes: DataFrame, sets: Callable[[DataFrame],
     listed: token (the hub), id, component. Hubs within one component are dropped; the others' members are
     dealt into blocks of about BLOCK, and each pair of blocks is one bounded group. A first pass compares
     signatures and names the members that have a candidate; a second brings their shingle sets to the
-    group and confirms there. Neither makes a row for a pair that is no link.
+    group and confirms there. Only links that join components of the group anew make a row: fewer than it has members.
     """
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,9 +254,20 @@ def crossing(listed: DataFrame, classes: DataFrame, sets: Callable[[DataFrame],
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["token", "i", "j"]):
             x, y = _candidates(group, percent)
-            ids, sets = group.column("id").to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in group.column("found")]
-            keep = np.array([_alike(sets[p], sets[q], percent) for p, q in zip(x, y)], dtype=bool)
-            one, two = ids[x[keep]], ids[y[keep]]
+            ids, part, sets = group.column("id").to_numpy(), group.column("component").to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in group.column("found")]
+            up, keep = {}, []
+
+            def root(c):
+                while c in up:
+                    c = up[c]
+                return c
+
+            for p, q in zip(x.tolist(), y.tolist()):  # a link inside what links already join would change nothing
+                c, d = sorted((root(int(part[p])), root(int(part[q]))))
+                if c != d and _alike(sets[p], sets[q], percent):
+                    up[d] = c
+                    keep.append((p, q))
+            one, two = (ids[[k[side] for k in keep]] if keep else ids[:0] for side in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
     spans = (

@@ -281,7 +281,7 @@ def _resolved(requests: DataFrame, docs: DataFrame) -> DataFrame:
         for block in blocks(batches, "text"):
             out = []
             for doc, text, asked in zip(*(block.column(c).to_pylist() for c in ("doc_id", "text", "asked"))):
-                raw = text.encode()
+                raw = text if isinstance(text, bytes) else text.encode()
                 for r in asked:
                     s, n = r["start"], r["size"]
                     if not r["hot"]:
@@ -356,8 +356,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary, what is left) of every document.
 
     docs: doc_id, text; other columns are ignored. A null text is empty; texts under LENGTH bytes lose
-    nothing. A null doc_id loses nothing and is nobody's smaller document; rows that repeat a doc_id
-    should have the same text. What is left may not be valid UTF-8: cuts fall between any two bytes.
+    nothing. A null doc_id loses nothing and is nobody's smaller document. Rows that repeat a doc_id, with equal texts or
+    others, are judged one by one, and none is the other's smaller document. What is left may not be valid UTF-8: cuts fall between any two bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,5 +381,27 @@ def dedup(docs: DataFrame) -> DataFrame:
                 [block.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             )
 
-    joined = docs.select("doc_id", "text").join(removals(docs), "doc_id", "left").select("doc_id", "text", "spans")
+    rows = docs.select("doc_id", "text")
+    unlike = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("lo != hi").select("doc_id"), "unlike")
+    joined = rows.join(removals(docs), "doc_id", "left").select("doc_id", "text", "spans") if unlike.isEmpty() else _of_repeated_ids(rows, unlike)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _of_repeated_ids(rows: DataFrame, unlike: DataFrame) -> DataFrame:
+    """doc_id, text, spans of rows of which some repeat a doc_id with another text (those of ``unlike``).
+
+    The texts of one id are put end to end with a byte between them that no UTF-8 text has, so that none is the other's smaller document;
+    windows over that byte are taken out of the spans again.
+    """
+    pieces = rows.join(unlike, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.coalesce("text", F.lit("")))).alias("_pieces"))
+    pieces = written(pieces, "pieces")
+    ends = pieces.select("doc_id", F.expr("aggregate(_pieces, X'', (a, x) -> concat(a, cast(x as binary), X'FF'))").alias("text"))
+    plain = rows.join(unlike, "doc_id", "left_anti")
+    spans = written(removals(plain.select("doc_id", F.col("text").cast("binary").alias("text")).union(ends)), "spans")
+    first = F.expr("aggregate(slice(_pieces, 1, cast(array_position(_pieces, coalesce(text, '')) as int) - 1), 0L, (a, x) -> a + octet_length(x) + 1)")
+    parted = rows.join(pieces, "doc_id").withColumn("_first", first).join(spans, "doc_id", "left")
+    last = f"_first + octet_length(coalesce(text, '')) - {LENGTH}"
+    inside = F.expr(f"filter(transform(spans, x -> struct(greatest(x.start, _first) as start, least(x.start + x.size - 1, {last}) as size)), x -> x.start <= x.size)")
+    moved = parted.withColumn("spans", inside).withColumn("spans", F.expr("transform(spans, x -> struct(x.start - _first as start, x.size - x.start + 1 as size))"))
+    own = moved.select("doc_id", "text", F.when(F.size("spans") > 0, F.col("spans")).alias("spans"))
+    return plain.join(spans, "doc_id", "left").select("doc_id", "text", "spans").union(own)

@@ -1,12 +1,13 @@
 """Edge cases of each operator: repeated rows and ids, very long texts, clashing columns, empty tables."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
 import numpy as np
 
-from tablewright.llm import langid, minhash, paragraphs, resampling
+from tablewright.llm import langid, minhash, paragraphs, resampling, substrings
 
 from .test_small import LOW, WORD, Groups, corpus, shingle_set
 
@@ -109,3 +110,28 @@ def test_paragraphs_of_any_length(frame):
     drop = {(d, i) for d, i, _ in gone}
     assert texts == {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in drop) for d, t in docs}
     assert [paragraphs.bands_for(p) for p in (80, 90)] == [10, 6]
+
+
+def removed_bytes(docs):
+    """(doc_id, removed, digest) of every row, by brute force over all 50-byte strings."""
+    first, raw = {}, [(d, (t or "").encode()) for d, t in docs]
+    for d, b in raw:
+        for i in range(len(b) - 49 if d is not None else 0):
+            first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
+    out = []
+    for d, b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49 if d is not None else 0):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        out.append((d, sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_substrings_of_repeated_ids(frame):
+    r = random.Random(4)
+    word = lambda n: "".join(r.choices("abcdé ", k=n))
+    one, two, three = word(80), word(90), word(49)
+    docs = [(1, one), (1, word(30) + two), (1, three), (2, one + two), (2, two), (3, two + word(60)), (3, two + word(60)), (3, None), (4, three + word(10)), (4, three + one), (5, one), (5, one), (None, one), (6, "x" * 3000), (7, "x" * 70)]
+    got = sorted(((x.doc_id, x.n_removed, x.kept_sha256) for x in substrings.dedup(frame(docs)).collect()), key=str)
+    assert got == removed_bytes(docs)

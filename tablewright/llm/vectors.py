@@ -40,13 +40,17 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _row():
+    return F.xxhash64("label", "embedding").alias("row")
+
+
 def _read(rows: DataFrame) -> DataFrame:
-    """vec_id, label, dim, k1, k2, raw for every vector that can link."""
+    """vec_id, row (a hash of label and vector), label, dim, k1, k2, raw for every vector that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for vec, label, values in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "embedding"))):
+            for vec, row, label, values in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "row", "label", "embedding"))):
                 if vec is None or label is None or not values or None in values:
                     continue
                 x = np.array(values, dtype=np.float64) + 0.0
@@ -54,15 +58,15 @@ def _read(rows: DataFrame) -> DataFrame:
                     continue
                 x = x / np.abs(x).max()  # so that squares stay finite
                 key = np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), dtype=np.int64)
-                out.append((vec, label, len(x), int(key[0]), int(key[1]), x.tobytes()))
-            cols = list(zip(*out)) or [()] * 6
+                out.append((vec, row, label, len(x), int(key[0]), int(key[1]), x.tobytes()))
+            cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                ["vec_id", "label", "dim", "k1", "k2", "raw"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
+                ["vec_id", "row", "label", "dim", "k1", "k2", "raw"],
             )
 
-    picked = rows.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
-    return picked.mapInArrow(run, "vec_id long, label string, dim int, k1 long, k2 long, raw binary")
+    picked = rows.select("vec_id", _row(), F.col("label").cast("string").alias("label"), "embedding")
+    return picked.mapInArrow(run, "vec_id long, row long, label string, dim int, k1 long, k2 long, raw binary")
 
 
 def passes_for(bits: int, threshold: float, missed: float = MISSED) -> int:
@@ -175,28 +179,29 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, cell: int = CELL) ->
     Returns a row per input row: vec_id, n_links, component_id, kept, class_id (smallest vec_id with an
     equal vector and label). Vectors that are null, empty, zero or hold null or non-finite components,
     and those without label or vec_id, link with nothing; so do vectors of unequal length. Rows that
-    repeat vec_id, label and vector count once.
+    repeat vec_id, label and vector count once; rows that repeat a vec_id with another vector or label are judged one by one.
+    An empty table gives an empty result.
     """
     found = written(_read(rows), "vectors")
-    classes = found.select("label", "dim", "k1", "k2", "vec_id").distinct().groupBy("label", "dim", "k1", "k2").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("n")
-    )
-    named = written(
-        found.select("vec_id", "label", "dim", "k1", "k2").distinct().join(classes, ["label", "dim", "k1", "k2"]).select("vec_id", "id", "n"), "named"
-    )
-    unique = found.join(classes, ["label", "dim", "k1", "k2"]).where("vec_id = id").dropDuplicates(["label", "dim", "k1", "k2"])
-    unique = written(unique.select("id", "n", "label", "dim", "raw"), "classes")
+    key = ["label", "dim", "k1", "k2"]
+    classes = found.select(*key, "vec_id").distinct().groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    classes = classes.withColumn("id", F.xxhash64(*key))  # a vec_id may stand in several classes
+    named = written(found.select("vec_id", "row", *key).distinct().join(classes, key).select("vec_id", "row", "id", "first", "n"), "named")
+    unique = found.join(classes, key).where("vec_id = first").dropDuplicates(key)
+    unique = written(unique.select("id", "first", "n", "label", "dim", "raw"), "classes")
     edges = _neighbours(unique, threshold, cell)
     parts = written(components(edges), "parts").withColumnsRenamed({"node": "id"})
     counted = _counted(unique.join(parts, "id").select("component", "id", "n", "raw"), threshold)
-    per_class = parts.join(counted, "id", "left")
+    least = unique.select("id", "first").join(parts, "id").groupBy("component").agg(F.min("first").alias("component_id"))
+    per_class = parts.join(least, "component").join(counted, "id", "left").select("id", "component_id", "linked")
     per_vector = named.join(per_class, "id", "left").select(
         "vec_id",
+        "row",
         (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.col("id").alias("class_id"),
+        F.coalesce("component_id", "first").alias("component_id"),
+        F.col("first").alias("class_id"),
     )
-    keyed = rows.select("vec_id").join(per_vector, "vec_id", "left")
+    keyed = rows.select("vec_id", _row()).join(per_vector, ["vec_id", "row"], "left")
     return keyed.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from tablewright.llm import langid, minhash, paragraphs, resampling, substrings
+from tablewright.llm import langid, minhash, paragraphs, resampling, substrings, vectors
 
 from .test_small import LOW, WORD, Groups, corpus, shingle_set
 
@@ -135,3 +135,13 @@ def test_substrings_of_repeated_ids(frame):
     docs = [(1, one), (1, word(30) + two), (1, three), (2, one + two), (2, two), (3, two + word(60)), (3, two + word(60)), (3, None), (4, three + word(10)), (4, three + one), (5, one), (5, one), (None, one), (6, "x" * 3000), (7, "x" * 70)]
     got = sorted(((x.doc_id, x.n_removed, x.kept_sha256) for x in substrings.dedup(frame(docs)).collect()), key=str)
     assert got == removed_bytes(docs)
+
+
+def test_vectors_of_repeated_ids(spark):
+    x, y, z = [1.0, 0.0], [0.0, 1.0], [0.99, 0.01]
+    rows = [(1, x, 5), (1, y, 5), (1, x, 6), (2, z, 5), (2, z, 5), (3, y, 5), (4, x, 6), (5, None, 5), (None, x, 5), (6, [0.0, 0.0], 5), (7, x, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as row", "2 as first", "'k' as k1")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 1, False)]
+    want += [(5, 0, 5, True), (None, 0, None, False), (6, 0, 6, True), (7, 0, 7, True)]
+    assert got == sorted(want, key=str)

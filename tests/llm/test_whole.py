@@ -114,3 +114,17 @@ def test_short_paragraphs_of_the_query(spark, tmp_path):
 def test_repetitive_lines(frame):
     texts = ["- " * 10 + "-", "- " * 30 + "-", "0 " * 12 + "0", "0 " * 50 + "0"]
     assert {x.doc_id for x in lines.removed_lines(frame(list(enumerate(texts)))).collect()} == like_lines(texts) == {1, 3}
+
+
+def test_lines_that_differ_where_words_begin(frame):
+    r = random.Random(5)
+    word = lambda k: "".join(r.choices("abcdefghijklmnop", k=k))
+    texts = []
+    for _ in range(12):
+        one = [word(24) for _ in range(16)]
+        two = [word(1) + x[1:] if k % 3 == 0 else x for k, x in enumerate(one)]  # the beginnings of a third of the words
+        few = [word(14) for _ in range(12)]
+        texts += [" ".join(one), " ".join(two), " ".join(few), " ".join([*few, *"qrstuvw"])]  # few words and many
+    want = like_lines(texts)
+    assert len(want) == 24
+    assert {x.doc_id for x in lines.removed_lines(frame(list(enumerate(texts)))).collect()} == want

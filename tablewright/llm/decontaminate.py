@@ -43,11 +43,11 @@ def _let(value: Column, use) -> Column:
 def marked(text: Column) -> Column:
     """Lower-case tokens with single spaces; a placeholder token is its type, an equals sign and its value."""
     number = r"\d+(?:[.,:/]\d+)*"
-    unit = rf"(?<![\p{{L}}\p{{N}}])({number}) ?(%|°c|°f|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-    bare = rf"(?<![\p{{L}}\p{{N}}=.,:/])({number})(?![\p{{L}}\p{{N}}])"
+    unit = rf"(?=\d)(?<![\p{{L}}\p{{N}}])({number}) ?(%|°c|°f|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+    bare = rf"(?=\d)(?<![\p{{L}}\p{{N}}=.,:/])({number})(?![\p{{L}}\p{{N}}])"
     other = rf"[^\p{{L}}\p{{M}}\p{{N}}{_MARK}=%°.,:/]+|(?<!\d)[.,:/=%°](?<!{_MARK}(?:num|unit|name|open)=)|[.,:/](?!\d)"
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}name=$0")
-    named = F.lower(F.regexp_replace(named, rf"{_OPENS}\p{{Lu}}[\p{{L}}\p{{M}}]*", f"{_MARK}open=$0"))
+    named = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}\p{M}]*", f"{_MARK}name=$0")
+    named = F.lower(F.regexp_replace(named, rf"(?=\p{{Lu}}){_OPENS}\p{{Lu}}[\p{{L}}\p{{M}}]*", f"{_MARK}open=$0"))
     numbers = lambda x: F.regexp_replace(F.regexp_replace(x, unit, f" {_MARK}num=$1 {_MARK}unit=$2 "), bare, f" {_MARK}num=$1 ")
     return _let(named, lambda x: F.trim(F.regexp_replace(F.when(x.rlike(r"\d"), numbers(x)).otherwise(x), other, " ")))
 
@@ -77,6 +77,26 @@ def _both(size: Column) -> Column:
     return F.when(F.col("named").isNull(), same).otherwise(apart)
 
 
+def _posted(base: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, size, doc_at, window: the windows of _both for every document and size, hashed in generated code, a row for each place.
+
+    A hash of several columns is that of the array of them, so windows of items and documents meet.
+    """
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x)).alias(c)
+    places = base.select("doc_id", hashed("tokens"), hashed("named")).where(F.size("tokens") >= sizes[0])
+    places = places.select("doc_id", "tokens", "named", F.explode(F.sequence(F.lit(0), F.size("tokens") - sizes[0])).alias("doc_at"))
+    window = lambda c, n: F.when(F.col("doc_at") + n <= F.size(c), F.xxhash64(*[F.get(c, F.col("doc_at") + k) for k in range(n)]))
+    named = lambda n: F.when(F.col("named").isNotNull(), window("named", n))
+    made = places.select("doc_id", "doc_at", *[w(n).alias(f"{c}{n}") for n in sizes for c, w in (("w", lambda n: window("tokens", n)), ("v", named))])
+    if len(sizes) == 1:
+        n = sizes[0]
+        each = F.when(F.col(f"v{n}").isNull() | (F.col(f"v{n}") == F.col(f"w{n}")), F.array(f"w{n}")).otherwise(F.array(f"w{n}", f"v{n}"))
+        return made.select("doc_id", F.lit(n).alias("size"), "doc_at", F.explode(each).alias("window"))
+    row = lambda n, x: F.struct(F.lit(n).alias("size"), x.alias("window"))
+    rows = [row(n, x) for n in sizes for x in (F.col(f"w{n}"), F.when(F.col(f"v{n}") != F.col(f"w{n}"), F.col(f"v{n}")))]
+    return made.select("doc_id", "doc_at", F.inline(F.array(*rows))).where("window is not null").select("doc_id", "size", "doc_at", "window")
+
+
 def _read(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, marked, tokens, and named: the tokens with opening words as names, null where there are none."""
     out = texts.select(*keys, marked(F.col("text")).alias("marked"))
@@ -107,15 +127,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     small = needles.count() <= BROADCAST_ROWS
     keys = needles.select("window", "size").distinct()
     base = _read(docs.where("doc_id is not null and text is not null"), "doc_id").select("doc_id", "tokens", "named")
-    none = F.array().cast("array<array<bigint>>")
-    windows = lambda n: F.coalesce(_both(F.lit(n)), none)
-    placed = lambda n: F.transform(windows(n), lambda x, i: F.struct(x.alias("both"), F.lit(n).alias("size"), i.alias("doc_at")))
-    made = F.concat(*[placed(n) for n in sizes])
-    if len(sizes) == 1:
-        found = base.select("doc_id", F.posexplode(_both(F.lit(sizes[0]))).alias("doc_at", "both")).withColumn("size", F.lit(sizes[0]))
-    else:
-        found = base.select("doc_id", F.inline(made))
-    found = found.select("doc_id", "size", "doc_at", F.explode("both").alias("window"))
+    found = _posted(base, sorted(sizes))
     # which windows are the benchmark's at all; few are, so what follows is small
     hits = written(found.join(F.broadcast(keys) if small else keys, ["window", "size"], "left_semi"), "hits")
     places = hits.join(F.broadcast(needles) if small else needles, ["window", "size"]).select("doc_id", "item_key", "at", "doc_at")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, lines, registry, vectors
 from tests.llm.test_small import Groups
@@ -128,3 +129,14 @@ def test_lines_that_differ_where_words_begin(frame):
     want = like_lines(texts)
     assert len(want) == 24
     assert {x.doc_id for x in lines.removed_lines(frame(list(enumerate(texts)))).collect()} == want
+
+
+@pytest.mark.parametrize("sizes", [[8], [5, 7, 8]])
+def test_windows_of_documents_and_items_meet(frame, sizes):
+    rows = [(1, "Tom has 5 apples. Tom buys 3 more apples in Paris. How many km does Tom walk?"), (2, "one two three four five six"), (3, "a b c"), (4, "Ann. Bob. Cat. Dan. Eve. Fay. Gus. Hal. Ian.")]
+    base = decontaminate._read(frame(rows), "doc_id")
+    want = []
+    for n in sizes:
+        for x in base.select("doc_id", decontaminate._both(F.lit(n)).alias("both")).collect():
+            want += [(x.doc_id, n, i, w) for i, windows in enumerate(x.both or []) for w in windows]
+    assert sorted(map(tuple, decontaminate._posted(base.select("doc_id", "tokens", "named"), sizes).collect())) == sorted(want)

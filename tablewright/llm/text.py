@@ -101,14 +101,20 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingle_starts(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The shingle of the n words from each word on, whatever text they are of."""
+    out = np.full(max(0, len(hashes) - n + 1), 0x9E3779B97F4A7C15 * n & MASK, dtype=np.uint64)
+    for i in range(n):
+        out = mix(out ^ hashes[i : i + len(out)]) + np.uint64(i)
+    return out
+
+
 def shingle_rows(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """shingles() of every text at once: all sets end to end, each sorted, and their bounds."""
     counts = np.diff(rows)
     found, owner = [], []
     if len(hashes) >= n:
-        out = np.full(len(hashes) - n + 1, 0x9E3779B97F4A7C15 * n & MASK, dtype=np.uint64)
-        for i in range(n):
-            out = mix(out ^ hashes[i : i + len(out)]) + np.uint64(i)
+        out = shingle_starts(hashes, n)
         row = np.repeat(np.arange(len(counts)), counts)
         whole = row[: len(out)] == row[n - 1 :]
         found.append(out[whole])

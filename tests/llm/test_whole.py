@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, lines, registry, vectors
+from tablewright.llm import decontaminate, lines, paragraphs, registry, vectors
 from tests.llm.test_small import Groups
 
 
@@ -112,6 +112,32 @@ def test_short_paragraphs_of_the_query(spark, tmp_path):
     assert got == {0: [], 1: [1, 3], 2: [], 3: [0]}
 
 
+def test_passages_inside_paragraphs(spark, tmp_path):
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    shared = [say(n) for n in (50, 50, 50, 51, 60, 75, 130)]
+    texts, lines_of = [], {}
+    for _ in range(3):
+        for k, x in enumerate(shared):
+            lines_of[len(texts)] = k
+            texts.append(f"{say(4)}\n{say(40 + k)} {x} {say(30)}\n{say(60)}")
+    texts += [say(200), None, texts[0].split("\n")[1] + "\n" + say(49)]  # the last's first line goes whole
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in registry.op5_paragraph_dedup(spark, str(tmp_path)).collect()}
+    out = {x.doc_id: x.text for x in paragraphs.dedup(docs, passages=True).collect()}
+    for i, text in enumerate(texts):
+        again = i in lines_of and i >= len(shared)
+        assert (got[i].n_removed > 0) == (again or i == len(texts) - 1)
+        assert [x.para_no for x in got[i].removed_passages] == [1] * len(got[i].removed_passages)
+        for x in got[i].removed_passages:
+            k = lines_of[i]
+            assert 38 + k <= x.start and x.start + x.n_words <= 42 + k + len(shared[k].split())  # a window of 26 words at similarity 0.8 may hold two others
+            words = text.split("\n")[1].split()
+            assert out[i].split("\n")[1].split() == words[: x.start] + words[x.start + x.n_words :]
+        assert bool(got[i].removed_passages) == again and (again or i == len(texts) - 1 or out[i] == text)
+
+
 def test_repetitive_lines(frame):
     texts = ["- " * 10 + "-", "- " * 30 + "-", "0 " * 12 + "0", "0 " * 50 + "0"]
     assert {x.doc_id for x in lines.removed_lines(frame(list(enumerate(texts)))).collect()} == like_lines(texts) == {1, 3}

@@ -32,6 +32,8 @@ RECALL = 0.999
 SHINGLE = 5
 PERCENT = 80
 LEAST_WORDS = 1
+#: Text that is hashed at a time, which bounds what a worker holds.
+BYTES = 1 << 18
 #: Words of a passage that is surely found, where it repeats word by word, and of the windows that it is found by: more than
 #: half, so that windows of one passage leave no gap. Up to 24 words at either end of a passage may lie in no window.
 PASSAGE, WINDOW = 50, 26
@@ -69,7 +71,7 @@ def banded(docs: DataFrame, n: int, bands: int, rows: int = ROWS) -> DataFrame:
     names = [f"k{i}" for i in range(bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BYTES):
             hashes, at = word_hashes(block.column("text"))
             found, bounds = shingle_rows(hashes, at, n)
             full = np.diff(bounds) > 0
@@ -117,7 +119,7 @@ def keyed(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, para_no, f1 of every paragraph with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BYTES):
             hashes, at = word_hashes(block.column("text"))
             found, bounds = shingle_rows(hashes, at, n)
             own = block.filter(pa.array(np.diff(bounds) > 0))
@@ -161,7 +163,7 @@ def windowed(paragraphs: DataFrame, n: int) -> DataFrame:
     names = [f"k{i}" for i in range(WINDOW_BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BYTES):
             row, start, found, bounds = windows(*word_hashes(block.column("text")), n)
             own = block.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("para_no"), pa.array(start, pa.int32()), pa.array(set_keys(found, bounds)[0]), *band_keys(found, bounds, WINDOW_BANDS)], ["doc_id", "para_no", "start", "id", *names])
@@ -174,7 +176,7 @@ def window_sets(paragraphs: DataFrame, n: int) -> DataFrame:
     """(id, n, brief, found) of every window of paragraphs, as minhash.set_table has of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BYTES):
             _, _, found, bounds = windows(*word_hashes(block.column("text")), n)
             key, first = np.unique(set_keys(found, bounds)[0], return_index=True)
             brief = [x.tobytes() for x in signatures(found, bounds).astype(np.uint8)[first]]
@@ -189,7 +191,8 @@ def removed_windows(docs: DataFrame, gone: DataFrame, n: int = SHINGLE, percent:
 
     gone: doc_id, para_no of paragraphs that are removed; their windows are neither removed nor kept in another's stead.
     """
-    own = split_paragraphs(docs.select("doc_id", "text"))
+    # so many words have so many bytes at least
+    own = split_paragraphs(docs.select("doc_id", "text")).where(F.octet_length("text") >= 2 * PASSAGE - 1)
     found = written(windowed(own, n), "windows")
     tokens = F.explode(F.array(*[f"k{i}" for i in range(WINDOW_BANDS)])).alias("token")
     posted = written(shared(found.select("id", tokens)).distinct(), "posted")  # equal windows too

@@ -38,6 +38,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WHOLE = re.compile(r"<\||[\x1c-\x1f]")
 #: Words of these characters need no more than lower case: they are composed, and each lowers alone.
 _PLAIN = re.compile(r"[\x00-ɏ]+")
+#: Marks that are a part of their own behind letters.
+_STOPS = frozenset(".,;:!?")
 
 
 class _Recent:
@@ -75,7 +77,7 @@ class Encoder:
         self.all = Tokenizer.from_file(path)
         self.model = self.all.model
         self.find = regex.compile(_SPLIT).findall
-        self.bytes = _byte_letters()
+        self.bytes = dict(enumerate(_byte_letters()))
         self.words, self.parts = _Recent(remembered), _Recent(remembered)
 
     def whole(self, text: str) -> bytes:
@@ -84,15 +86,25 @@ class Encoder:
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            found = array("I", [t.id for t in self.model.tokenize("".join(self.bytes[b] for b in part.encode()))]).tobytes()
+            letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.bytes)
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             self.parts.put(part, found)
         return found
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.words.old.get(word)
         if found is None:
-            found = b"".join(map(self.part, self.find(word.lower()))) if _PLAIN.fullmatch(word) else self.whole(word)
-            self.words.put(word, found)
+            if word.isascii() or _PLAIN.fullmatch(word):
+                low = word.lower()
+                if low.isalpha():
+                    found = self.part(low)
+                elif low[-1] in _STOPS and low[:-1].isalpha():
+                    found = self.part(low[:-1]) + self.part(low[-1])
+                else:
+                    found = b"".join(map(self.part, self.find(low)))
+            else:
+                found = self.whole(word)
+        self.words.put(word, found)
         return found
 
     def ids(self, text: str | None) -> bytes:
@@ -103,7 +115,7 @@ class Encoder:
         words, known = text.split(), self.words.new.get
         found = list(map(known, words))
         if None in found:
-            found = [self.word(w) if x is None else x for w, x in zip(words, found)]
+            found = [(known(w) or self.word(w)) if x is None else x for w, x in zip(words, found)]  # a word may come twice
         return b"".join(found)
 
 

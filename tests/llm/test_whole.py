@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, lines, paragraphs, registry, vectors
+from tablewright.llm import decontaminate, lines, packing, paragraphs, registry, vectors
 from tests.llm.test_small import Groups
 
 
@@ -166,3 +166,14 @@ def test_windows_of_documents_and_items_meet(frame, sizes):
         for x in base.select("doc_id", decontaminate._both(F.lit(n)).alias("both")).collect():
             want += [(x.doc_id, n, i, w) for i, windows in enumerate(x.both or []) for w in windows]
     assert sorted(map(tuple, decontaminate._posted(base.select("doc_id", "tokens", "named"), sizes).collect())) == sorted(want)
+
+
+def test_packing_of_plain_words_needs_no_pattern():
+    import public_tokenizers
+
+    own = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), remembered=3)
+    odd = "don't I'll x2 a--b İstanbulİ. İ! été. \x00a \x7fb c\xad. . ?! ª. ß, 3.5 ... 中. ΣΣ. ǅa: café; café; Café a a a"
+    assert own.ids(odd) == own.whole(odd)
+    plain = "Hello there, Straße: one two three four; five! five? one."
+    want, own.find = own.whole(plain), None  # a call of it would fail
+    assert own.ids(plain) == want

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, lines, packing, paragraphs, registry, vectors
+from tablewright.llm import common, decontaminate, lines, packing, paragraphs, registry, vectors
 from tests.llm.test_small import Groups
 
 
@@ -177,3 +179,15 @@ def test_packing_of_plain_words_needs_no_pattern():
     plain = "Hello there, Straße: one two three four; five! five? one."
     want, own.find = own.whole(plain), None  # a call of it would fail
     assert own.ids(plain) == want
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p for d in dirs for p in Path(d.getPath()).rglob("shuffle_*")}
+    before, had = files(), spark.conf.get(common.CLEANUP, None)
+    table = common.written(spark.range(10_000).repartition(3, "id").groupBy("id").count())
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(common.CLEANUP, None) == had
+    assert table.count() == 10_000

@@ -191,3 +191,38 @@ def test_written_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before and spark.conf.get(common.CLEANUP, None) == had
     assert table.count() == 10_000
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far wrote to shuffle files."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    jvm, none = context._jvm, context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pairs_of_lines_take_no_more_disk_than_their_sketches(spark, frame, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for _ in range(40):  # members meet in many bands, so there are far more pairs than texts
+        own = [word() for _ in range(30)]
+        for _ in range(60):
+            w = list(own)
+            for k in r.sample(range(30), 4):
+                w[k] = word()
+            texts.append(" ".join(w))
+    most = []
+
+    def written(df, name="t", whole=lines.written):
+        before = _shuffled(spark)
+        out = whole(df, name)
+        most.append((_shuffled(spark) - before, name))
+        return out
+
+    monkeypatch.setattr(lines, "written", written)
+    lines.removed_lines(frame(list(enumerate(texts)))).count()
+    # of one text: its sketch, folded, on each side of a pair, and the rows of a slice of pairs
+    worst = max(x for x in most if x[1] in ("met", "crossing"))
+    assert worst[0] <= 600 * len(texts), sorted(most)[-4:]

@@ -46,10 +46,11 @@ _ADD = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 def signatures(found: np.ndarray, bounds: np.ndarray, coords: int = WIDE) -> np.ndarray:
     """The minimum of each hash function over every non-empty set, as rows of 32-bit values."""
     starts = bounds[:-1][np.diff(bounds) > 0]
-    best = np.empty((len(starts), coords), dtype=np.uint64)
-    for i in range(coords):
-        best[:, i] = np.minimum.reduceat(found * _MULTIPLY[i] + _ADD[i], starts) if len(starts) else 0
-    return (mix(best) >> np.uint64(32)).astype(np.uint32)
+    best = np.empty((len(starts), coords), dtype=np.uint32)
+    if len(starts):
+        for i in range(coords):
+            best[:, i] = mix(np.minimum.reduceat(found * _MULTIPLY[i] + _ADD[i], starts)) >> np.uint64(32)
+    return best
 
 
 def set_keys(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

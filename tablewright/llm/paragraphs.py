@@ -165,7 +165,7 @@ def windowed(paragraphs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BYTES):
             row, start, found, bounds = windows(*word_hashes(block.column("text")), n)
-            own = block.take(pa.array(row))
+            own = block.select(["doc_id", "para_no"]).take(pa.array(row))  # not the text, which would stand there for each of its windows
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("para_no"), pa.array(start, pa.int32()), pa.array(set_keys(found, bounds)[0]), *band_keys(found, bounds, WINDOW_BANDS)], ["doc_id", "para_no", "start", "id", *names])
 
     own = paragraphs.select("doc_id", "para_no", "text")

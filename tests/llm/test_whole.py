@@ -6,6 +6,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,24 @@ def test_pairs_of_lines_take_no_more_disk_than_their_sketches(spark, frame, monk
     # of one text: its sketch, folded, on each side of a pair, and the rows of a slice of pairs
     worst = max(x for x in most if x[1] in ("met", "crossing"))
     assert worst[0] <= 600 * len(texts), sorted(most)[-4:]
+
+
+def test_windows_of_a_long_line_take_no_copies_of_it():
+    class Frame:  # stands for a DataFrame, and keeps what it is to run
+        schema = {"doc_id": type("Field", (), {"dataType": type("Long", (), {"simpleString": lambda self: "bigint"})()})}
+        select = lambda self, *names: self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    r = random.Random(6)
+    text = " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([text])], ["doc_id", "para_no", "text"])
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        rows = sum(x.num_rows for x in paragraphs.windowed(Frame(), 5)(iter([batch])))
+    finally:
+        pa.set_memory_pool(before)
+    assert rows > 1000 and pool.max_memory() < 20 * len(text)

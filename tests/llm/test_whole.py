@@ -248,3 +248,27 @@ def test_windows_of_a_long_line_take_no_copies_of_it():
     finally:
         pa.set_memory_pool(before)
     assert rows > 1000 and pool.max_memory() < 20 * len(text)
+
+
+def test_texts_of_lines_that_meet_by_chance_are_not_read(frame, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for _ in range(10):  # a third of the words in common, a similarity of about a fifth
+        own = [word() for _ in range(10)]
+        texts += [" ".join([*own, *(word() for _ in range(20))]) for _ in range(60)]
+    chance = len(texts)
+    for _ in range(40):  # few shingles, and a character that differs at an end
+        short = "".join(r.choices("abcdefghijklmnop", k=r.randint(16, 30)))
+        texts += [short, short + "."]
+    rows = []
+
+    def written(df, name="t", whole=lines.written):
+        out = whole(df, name)
+        if name == "texts":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "written", written)
+    assert {x.doc_id for x in lines.removed_lines(frame(list(enumerate(texts)))).collect()} == like_lines(texts)
+    assert sum(rows) <= len(texts) - chance + chance / 4, rows
